@@ -1,6 +1,6 @@
 """All queries, each beside its SQL twin."""
 
 from segmenta.plans.registry import QUERIES, SQL
-from segmenta.queries import aggregates, arrays, joins, predicates, scalars, signal, windows
+from segmenta.queries import aggregates, arrays, joins, learning, predicates, scalars, signal, sources, statistics, windows
 
-__all__ = ["QUERIES", "SQL", "aggregates", "arrays", "joins", "predicates", "scalars", "signal", "windows"]
+__all__ = ["QUERIES", "SQL", "aggregates", "arrays", "joins", "learning", "predicates", "scalars", "signal", "sources", "statistics", "windows"]

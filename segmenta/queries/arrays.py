@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from segmenta.functions import arrays as A
-from segmenta.functions import labels as L
 from segmenta.plans.registry import PHASES, query, r6
 
 E = "(SELECT vec_id, phase, sum(v * v) AS e, count(*) AS k, max(abs(v)) AS peak FROM samples JOIN phases ON n >= p_start AND n < p_end GROUP BY 1, 2)"
@@ -257,5 +256,3 @@ def _(t):
     n = t.spark.range(1, 33).select((F.col("id") * 100).cast("int").alias("samples"))
     return n.select("samples", *[F.rint(F.lit(q) * F.col("samples")).cast("int").alias(k) for k, q in (("s1_end", 0.15), ("systole_end", 0.5), ("s2_end", 0.65))])
 
-
-_ = L
