@@ -21,9 +21,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from segmenta.llm.encoding import Generations
 from segmenta.llm.text import slices
 
-MEMO = 600_000
+MEMO = 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -41,7 +42,7 @@ class ByteEncoder:
         self.automaton.make_automaton()
         self.shorter_memo: dict[int, int | None] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.memo: dict[str, bytes] = {}
+        self.memo = Generations(MEMO)
 
     def merged(self, piece: bytes) -> list[int]:
         """Plain merging by lowest rank; for the few bytes of two tokens."""
@@ -92,12 +93,11 @@ class ByteEncoder:
     def encode(self, text: str) -> bytes:
         """A text's ids as little-endian unsigned 32-bit integers."""
         memo, out = self.memo, []
-        if len(memo) > MEMO:
-            memo.clear()
+        memo.turn()
         for piece in self.split(text):
             ids = memo.get(piece)
             if ids is None:
-                ids = np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
+                ids = memo.old.get(piece) or np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
                 if len(piece) <= 64:
                     memo[piece] = ids
             out.append(ids)

@@ -3,39 +3,85 @@
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
+#: Words of these characters alone are their own NFC form, lower-case by one rule, and split by the pattern below.
+_SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
+_SPLIT = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
+
+
+def _byte_letters() -> list[str]:
+    """The printable stand-in of each byte in byte-level vocabularies: itself, or the next free letter from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
+class Generations(dict):
+    """A memo of bounded size: what was used since the last turn, and before that in ``old``; a turn forgets the older."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def turn(self) -> None:
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+
+
+class _Words(Generations):
+    def __init__(self, library, limit: int):
+        super().__init__(limit)
+        self.library, self.model, self.letters, self.parts = library, library.model, _byte_letters(), Generations(limit)
+
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part) or self.parts.old.get(part)
+        if ids is None:
+            spelt = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
+            ids = np.array([x.id for x in self.model.tokenize(spelt)], "<u4").tobytes()
+        self.parts[part] = ids
+        return ids
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            if _SIMPLE(word):
+                ids = b"".join([self._part(x) for x in _SPLIT(word.lower())])
+            else:
+                ids = np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = ids
+        return ids
+
 
 class WordEncoder:
     """Encodes whole texts as the library does, but each distinct word once.
 
     The vocabulary's normalizer and splitter work within words between white space, so a text's ids are its words' ids in
-    a row. Texts with a special token's opening mark, or with separators that only Python counts as white space, are given
-    to the library whole. The memo is emptied when it holds ``limit`` words; that changes speed only.
+    a row. Simple words are split here and given to the library's merge model; all others go through the whole library, as
+    do texts with a special token's opening mark or with separators that only Python counts as white space. The memo forgets
+    words that weren't met lately; that changes speed only.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.memo, self.limit = Tokenizer.from_file(path), {}, limit
+        self.library = Tokenizer.from_file(path)
+        self.memo = _Words(self.library, limit)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        whole = [i for i, x in enumerate(texts) if "<|" in x or any(c in x for c in "\x1c\x1d\x1e\x1f")]
-        parts = [x.split() for x in texts]
-        if len(self.memo) > self.limit:
-            self.memo.clear()
-        new = list(set().union(*parts) - self.memo.keys())
-        for a in range(0, len(new), 4096):
-            some = new[a : a + 4096]
-            for word, ids in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.memo[word] = np.array(ids.ids, "<u4").tobytes()
-        get = self.memo.__getitem__
-        out = [b"".join(map(get, x)) for x in parts]
-        for i in whole:
-            out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+        get, out = self.memo.__getitem__, []
+        for x in texts:
+            if "<|" in x or "\x1c" in x or "\x1d" in x or "\x1e" in x or "\x1f" in x:
+                out.append(np.array(self.library.encode(x, add_special_tokens=False).ids, "<u4").tobytes())
+            else:
+                out.append(b"".join(map(get, x.split())))
+        self.memo.turn()
+        self.memo.parts.turn()
         return out
 
 
@@ -44,4 +90,6 @@ _encoders: dict[str, WordEncoder] = {}
 
 def word_encoder(path: str) -> WordEncoder:
     """One encoder for each worker process."""
-    return _encoders.setdefault(path, None) or _encoders.__setitem__(path, WordEncoder(path)) or _encoders[path]
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]

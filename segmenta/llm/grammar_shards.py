@@ -32,7 +32,7 @@ from segmenta.llm.text import slices
 
 MAGIC = b"RPSHARD1"
 SHARD_IDS = 1 << 20
-PER_ROUND, ROUNDS, LEAST = 4096, 8, 16
+PER_ROUND, ROUNDS, LEAST = 1 << 15, 4, 8
 BLOCK = 1 << 14
 _TABLE_BITS = 20
 
@@ -71,7 +71,7 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND,
         use = np.bincount(which[at], minlength=len(chosen))
         kept = use >= 4
         at = at[kept[which[at]]]
-        if len(at) < 0.005 * len(s):
+        if len(at) < 0.02 * len(s):
             break
         number = np.cumsum(kept) - 1
         rules.append(np.stack([chosen[kept] >> np.uint64(32), chosen[kept] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
