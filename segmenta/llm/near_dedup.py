@@ -7,9 +7,12 @@
    slot in a table, t = floor(ln w / r + beta) and ln a = ln c - r (t - beta) - r; the least a wins, and (shingle, t) is the
    sample. Two texts draw the same sample with the probability of their weighted Jaccard similarity.
 3. Texts that agree on all ``ROWS`` samples of a band are candidates. In a bucket every text is compared with two pivots, not
-   with all; texts of a bucket that are then still in different components are compared across components, first with other
-   pivots and at last exhaustively, so no link that the bands found is lost and no group is expanded into all its pairs.
-4. Candidates are verified by their exact weighted Jaccard similarity on whole texts, and classes are the components.
+   with all. Of buckets that then still hold several components, one byte of each sample is compared across components,
+   block by block in memory; pairs that agree in at least ``LIKELY`` of them (over four standard deviations below 0.8) are
+   candidates too. So no link that the bands found is lost, and no group is expanded into all its pairs.
+4. Candidates are verified by their exact weighted Jaccard similarity on whole texts. idf weighs two texts' differences more
+   than what a large group of copies shares, so a pair whose similarity by tf alone is high enough is a link as well.
+   Classes are the components.
 
 Equal texts are one node from the start. Contract: a null text is empty; texts of fewer than five words have one shingle of
 all their words; texts without words are near only to equal texts; class_id is the least doc_id of the class (null only if
@@ -31,8 +34,9 @@ from segmenta.llm.sketch import count_sketch
 from segmenta.llm.store import drop, stored
 from segmenta.llm.text import byte_columns, mix, shingles, slices, word_hashes
 
-SIMILARITY, ROWS, BANDS = 0.8, 4, 16
+SIMILARITY, ROWS, BANDS = 0.8, 5, 16
 SAMPLES = ROWS * BANDS
+LIKELY = round(0.55 * SAMPLES)
 SKETCH_BITS, _SLOTS = 20, 1 << 14
 #: Ids up to this number may be broadcast (8 bytes each); beyond it the same join is shuffled.
 SMALL = 1 << 20
@@ -67,6 +71,10 @@ class Weights:
         return h, n.astype(np.float32) * self.idf[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
 
 
+    def tf(self, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return h, np.rint(w / self.idf[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)])
+
+
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     low = float(np.minimum(a[1][i], b[1][j]).sum(dtype=np.float64))
@@ -74,6 +82,10 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return low / top if top else 0.0
 
 
+def similar(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], weights: Weights) -> bool:
+    return weighted_jaccard(a, b) >= SIMILARITY or weighted_jaccard(weights.tf(*a), weights.tf(*b)) >= SIMILARITY
+
+
 @lru_cache(1)
 def _draws() -> tuple[np.ndarray, ...]:
     rng = np.random.Generator(np.random.PCG64(42))
@@ -118,14 +130,16 @@ def picked(rows: DataFrame, ids: DataFrame, key: str, kind: str = "left_semi") -
 def _signatures(docs: DataFrame, weights) -> DataFrame:
     def run(batches):
         for batch in batches:
-            out = []
+            out, short = [], []
             for _, words in _each_text(batch):
                 h, w = weights.value.of(words)
-                out.append(band_keys(samples(h, w)) if len(h) else np.zeros(0, np.int64))
+                drawn = samples(h, w) if len(h) else np.zeros(0, np.uint64)
+                out.append(band_keys(drawn) if len(h) else np.zeros(0, np.int64))
+                short.append((drawn & np.uint64(255)).astype(np.uint8).tobytes())
             texts = [(x or "").encode() for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([hashlib.md5(x).hexdigest() for x in texts], pa.string()), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([hashlib.md5(x).hexdigest() for x in texts], pa.string()), pa.array(out, pa.list_(pa.int64())), pa.array(short, pa.binary())], ["doc_id", "digest", "bands", "short"])
 
-    return docs.mapInArrow(run, "doc_id long, digest string, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, digest string, bands array<long>, short binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
@@ -141,19 +155,58 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
                 if b[k] != known[0]:  # rows come sorted by b
                     words, _ = word_hashes(*byte_columns(texts_b.slice(k, 1)))
                     known = (b[k], weights.value.of(words))
-                keep.append(weighted_jaccard(sets[k], known[1]) >= SIMILARITY)
+                keep.append(similar(sets[k], known[1], weights.value))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, y in zip(a, keep, strict=True) if y], pa.string()), pa.array([x for x, y in zip(b, keep, strict=True) if y], pa.string())], ["a", "b"])
 
     ta, tb = texts.select(F.col("digest").alias("a"), F.col("text").alias("ta")), texts.select(F.col("digest").alias("b"), F.col("text").alias("tb"))
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").sortWithinPartitions("b").mapInArrow(run, "a string, b string")
 
 
-def _grouped(buckets: DataFrame, links: DataFrame) -> DataFrame:
-    """Members (key, digest, comp) of the buckets that hold more than one component."""
+def _across(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Likely pairs (a, b) of one bucket in different components; members: key, digest, short."""
     roots = components(links).withColumnsRenamed({"node": "digest", "root": "comp"})
-    rows = buckets.join(roots, "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
+    rows = members.join(roots, "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
     open_keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    return rows.join(open_keys, "key", "left_semi")
+    rows = rows.join(open_keys, "key", "left_semi").select("key", F.xxhash64("comp").alias("comp"), "digest", "short")
+
+    def pairs(digests: list[str], comp: np.ndarray, short: np.ndarray):
+        """Members that aren't of the largest component against all; 80 bytes a member are held, and a block of pairs."""
+        names, at = np.unique(comp, return_inverse=True)
+        size = np.bincount(at)
+        order = np.argsort(-size[at], kind="stable")
+        largest = at[order[0]]
+        outside = [k for k in order.tolist() if at[k] != largest]
+        place = np.empty(len(at), np.int64)
+        place[order] = np.arange(len(at))
+        for k in outside:
+            before = order[: place[k]]
+            for c in range(0, len(before), 1 << 15):
+                some = before[c : c + (1 << 15)]
+                some = some[at[some] != at[k]]
+                near = some[(short[some] == short[k]).sum(1) >= LIKELY]
+                for j in near.tolist():
+                    yield max(digests[k], digests[j]), min(digests[k], digests[j])
+
+    def run(batches):
+        key, held = None, ([], [], [])
+
+        def closed():
+            found = set(pairs(held[0], np.array(held[1]), np.frombuffer(b"".join(held[2]), np.uint8).reshape(len(held[0]), -1))) if len(held[0]) > 1 else set()
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.string())], ["a", "b"])
+
+        for batch in batches:
+            for k, c, d, s in zip(*(batch.column(n).to_pylist() for n in ("key", "comp", "digest", "short")), strict=True):
+                if k != key:
+                    if held[0]:
+                        yield closed()
+                    key, held = k, ([], [], [])
+                held[0].append(d)
+                held[1].append(c)
+                held[2].append(s)
+        if held[0]:
+            yield closed()
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a string, b string")
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -164,8 +217,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
     weights = spark.sparkContext.broadcast(Weights(sketch, docs.count()))  # 2**SKETCH_BITS numbers
     marked = stored(_signatures(docs, weights), "signatures")
     # One node for each distinct text.
-    nodes = marked.groupBy("digest").agg(F.first("bands").alias("bands"))
-    members = nodes.select("digest", F.explode("bands").alias("key"))
+    nodes = marked.groupBy("digest").agg(F.first("bands").alias("bands"), F.first("short").alias("short"))
+    members = nodes.select("digest", "short", F.explode("bands").alias("key"))
     ends = members.groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo <> hi")
     buckets = stored(members.join(ends, "key"), "buckets")
     near = lambda p: buckets.filter(f"digest <> {p}").select(F.greatest("digest", p).alias("a"), F.least("digest", p).alias("b"))
@@ -174,28 +227,9 @@ def near_classes(docs: DataFrame) -> DataFrame:
     by_digest = docs.select(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), "text")
     texts = stored(picked(by_digest, needed, "digest").groupBy("digest").agg(F.first("text").alias("text")), "texts")
     links = stored(_verified(pairs, texts, weights), "links")
-    members = stored(buckets.select("key", "digest"), "members")
-    drop(buckets)
-    checked, turn = pairs, 0
-    while True:
-        open_rows = stored(_grouped(members, links), "open")
-        per = open_rows.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("s"))
-        r = per.agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("n") - F.col("s")) / 2).alias("pairs")).first()
-        if not r.n:
-            break
-        last = turn >= 3 or r.pairs <= 8 * r.n
-        if last:  # what is left across components is few, or pivots don't join it: all of it
-            x, y = open_rows.alias("x"), open_rows.alias("y")
-            more = x.join(y, F.col("x.key") == F.col("y.key")).filter("x.comp < y.comp").select(F.greatest("x.digest", "y.digest").alias("a"), F.least("x.digest", "y.digest").alias("b"))
-        else:
-            pivot = open_rows.groupBy("key").agg(F.min_by(F.struct("digest", "comp"), F.xxhash64("digest", F.lit(turn))).alias("p"))
-            more = open_rows.join(pivot, "key").filter("comp <> p.comp").select(F.greatest(F.col("digest"), F.col("p.digest")).alias("a"), F.least(F.col("digest"), F.col("p.digest")).alias("b"))
-        more = stored(more.distinct().join(checked, ["a", "b"], "left_anti"), "more-pairs")
-        drop(open_rows)
-        fresh = stored(_verified(more, texts, weights), "more-links")
-        links, checked, turn = links.unionByName(fresh), checked.unionByName(more), turn + 1
-        if last:
-            break
+    more = stored(_across(buckets.select("key", "digest", "short"), links).distinct().join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+    drop(buckets, pairs)
+    links = links.unionByName(stored(_verified(more, texts, weights), "more-links"))
     roots = components(links).withColumnsRenamed({"node": "digest", "root": "comp"})
     rows = marked.select("doc_id", "digest").join(roots, "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
     first = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first"))
