@@ -2,14 +2,16 @@
 
 1. Document frequencies of five-word shingles are counted over all texts in a table of fixed size; the mean load of a slot
    is taken off, so rare shingles keep a frequency near one at any corpus size. A shingle weighs tf * idf with
-   idf = 1 + ln((1 + N) / (1 + df)) / ln(1 + N), between 1 and 2.
+   idf = 1 + IDF_SPAN * ln((1 + N) / (1 + df)) / ln(1 + N); the span keeps large groups of copies, whose shared shingles are
+   frequent, from falling apart.
 2. Each text draws ``SAMPLES`` weighted samples (ICWS): for a shingle's r, c ~ Gamma(2, 1) and beta ~ U(0, 1), fixed by its
    slot in a table, t = floor(ln w / r + beta) and ln a = ln c - r (t - beta) - r; the least a wins, and (shingle, t) is the
    sample. Two texts draw the same sample with the probability of their weighted Jaccard similarity.
-3. Texts that agree on all ``ROWS`` samples of a band are candidates. In a bucket every text is compared with two pivots, not
-   with all. Of buckets that then still hold several components, one byte of each sample is compared across components,
-   block by block in memory; pairs that agree in at least ``LIKELY`` of them (over four standard deviations below 0.8) are
-   candidates too. So no link that the bands found is lost, and no group is expanded into all its pairs.
+3. Texts that agree on all ``ROWS`` samples of a band are candidates. In a bucket every text is compared with four pivots,
+   not with all. Texts of buckets that then still hold several components are joined across components by prefix filtering: two
+   texts that are similar enough share a shingle among the rarest of both that make up more than a fifth of their weights.
+   That is exact; of those pairs the ones that agree in LIKELY samples are compared, which leaves out a similarity of just
+   0.8 in one pair of forty, and only where no other link joins the two. No group is expanded into all its pairs.
 4. Candidates are verified by their exact weighted Jaccard similarity on whole texts. idf weighs two texts' differences more
    than what a large group of copies shares, so a pair whose similarity by tf alone is high enough is a link as well.
    Classes are the components.
@@ -36,7 +38,9 @@ from segmenta.llm.text import byte_columns, mix, shingles, slices, word_hashes
 
 SIMILARITY, ROWS, BANDS = 0.8, 5, 16
 SAMPLES = ROWS * BANDS
-LIKELY = round(0.55 * SAMPLES)
+IDF_SPAN = 0.25
+#: Samples in which texts of different components must agree to be compared: two standard deviations below 0.8.
+LIKELY = round(0.70 * SAMPLES)
 SKETCH_BITS, _SLOTS = 20, 1 << 14
 #: Ids up to this number may be broadcast (8 bytes each); beyond it the same join is shuffled.
 SMALL = 1 << 20
@@ -63,7 +67,7 @@ class Weights:
     def __init__(self, sketch: np.ndarray, n_docs: int):
         noise = sketch.sum() / len(sketch)
         df = np.clip((sketch - noise) * len(sketch) / (len(sketch) - 1), 1, max(1, n_docs))
-        self.idf = (1 + np.log((1 + n_docs) / (1 + df)) / np.log(max(2, 1 + n_docs))).astype(np.float32)
+        self.idf = (1 + IDF_SPAN * np.log((1 + n_docs) / (1 + df)) / np.log(max(2, 1 + n_docs))).astype(np.float32)
 
     def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct shingles in rising order and their weights."""
@@ -162,51 +166,64 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").sortWithinPartitions("b").mapInArrow(run, "a string, b string")
 
 
-def _across(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Likely pairs (a, b) of one bucket in different components; members: key, digest, short."""
+def prefix(h: np.ndarray, w: np.ndarray, weights: Weights) -> np.ndarray:
+    """The rarest shingles that make up more than 1 - SIMILARITY of the set's weight, and of its weight by tf alone."""
+    idf = weights.idf[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    order = np.lexsort((h, -idf))  # the same order for all texts
+    n = 0
+    for x in (w, weights.tf(h, w)[1]):
+        x = x[order].astype(np.float64)
+        n = max(n, int(np.searchsorted(np.cumsum(x), (1 - SIMILARITY) * x.sum() * (1 + 1e-9), "right")) + 1)
+    return h[order[:n]]
+
+
+def _across(members: DataFrame, links: DataFrame, texts: DataFrame, weights) -> DataFrame:
+    """Pairs (a, b) in different components of open buckets that share a shingle of both prefixes and LIKELY samples; members: key, digest."""
     roots = components(links).withColumnsRenamed({"node": "digest", "root": "comp"})
     rows = members.join(roots, "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
     open_keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    rows = rows.join(open_keys, "key", "left_semi").select("key", F.xxhash64("comp").alias("comp"), "digest", "short")
-
-    def pairs(digests: list[str], comp: np.ndarray, short: np.ndarray):
-        """Members that aren't of the largest component against all; 80 bytes a member are held, and a block of pairs."""
-        names, at = np.unique(comp, return_inverse=True)
-        size = np.bincount(at)
-        order = np.argsort(-size[at], kind="stable")
-        largest = at[order[0]]
-        outside = [k for k in order.tolist() if at[k] != largest]
-        place = np.empty(len(at), np.int64)
-        place[order] = np.arange(len(at))
-        for k in outside:
-            before = order[: place[k]]
-            for c in range(0, len(before), 1 << 15):
-                some = before[c : c + (1 << 15)]
-                some = some[at[some] != at[k]]
-                near = some[(short[some] == short[k]).sum(1) >= LIKELY]
-                for j in near.tolist():
-                    yield max(digests[k], digests[j]), min(digests[k], digests[j])
+    open_texts = rows.join(open_keys, "key", "left_semi").select("digest", F.xxhash64("comp").alias("comp")).distinct().join(texts, "digest")
 
-    def run(batches):
-        key, held = None, ([], [], [])
-
-        def closed():
-            found = set(pairs(held[0], np.array(held[1]), np.frombuffer(b"".join(held[2]), np.uint8).reshape(len(held[0]), -1))) if len(held[0]) > 1 else set()
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.string())], ["a", "b"])
+    def spread(batches):
+        for batch in batches:
+            out = []
+            for k, words in _each_text(batch):
+                p = prefix(*weights.value.of(words), weights.value).view(np.int64)
+                out.append((p, np.full(len(p), k)))
+            if out:
+                tokens, at = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), *[batch.column(c).take(pa.array(at)) for c in ("digest", "comp", "short")]], ["token", "digest", "comp", "short"])
+
+    def meet(batches):
+        token, held = None, []
+
+        def pairs():
+            # Sorted by component: each meets the texts of earlier components only, as one comparison of arrays.
+            bytes_of = np.frombuffer(b"".join(x[2] for x in held), np.uint8).reshape(len(held), -1)
+            first, out = 0, ([], [])
+            for k, (c, d, _) in enumerate(held):
+                if k and c != held[k - 1][0]:
+                    first = k
+                for a in range(0, first, 1 << 14):
+                    near = np.flatnonzero((bytes_of[a : min(first, a + (1 << 14))] == bytes_of[k]).sum(1) >= LIKELY)
+                    for j in near.tolist():
+                        e = held[a + j][1]
+                        out[0].append(max(d, e))
+                        out[1].append(min(d, e))
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in out], ["a", "b"])
 
         for batch in batches:
-            for k, c, d, s in zip(*(batch.column(n).to_pylist() for n in ("key", "comp", "digest", "short")), strict=True):
-                if k != key:
-                    if held[0]:
-                        yield closed()
-                    key, held = k, ([], [], [])
-                held[0].append(d)
-                held[1].append(c)
-                held[2].append(s)
-        if held[0]:
-            yield closed()
+            for t, d, c, x in zip(*(batch.column(n).to_pylist() for n in ("token", "digest", "comp", "short")), strict=True):
+                if t != token:
+                    if len(held) > 1 and held[0][0] != held[-1][0]:
+                        yield pairs()
+                    token, held = t, []
+                held.append((c, d, x))
+        if len(held) > 1 and held[0][0] != held[-1][0]:
+            yield pairs()
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a string, b string")
+    tokens = open_texts.mapInArrow(spread, "token long, digest string, comp long, short binary")
+    return tokens.repartition("token").sortWithinPartitions("token", "comp").mapInArrow(meet, "a string, b string")
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -217,18 +234,18 @@ def near_classes(docs: DataFrame) -> DataFrame:
     weights = spark.sparkContext.broadcast(Weights(sketch, docs.count()))  # 2**SKETCH_BITS numbers
     marked = stored(_signatures(docs, weights), "signatures")
     # One node for each distinct text.
-    nodes = marked.groupBy("digest").agg(F.first("bands").alias("bands"), F.first("short").alias("short"))
-    members = nodes.select("digest", "short", F.explode("bands").alias("key"))
-    ends = members.groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo <> hi")
+    nodes = marked.groupBy("digest").agg(F.first("bands").alias("bands"))
+    members = nodes.select("digest", F.explode("bands").alias("key"))
+    ends = members.groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.min_by("digest", F.xxhash64("digest", "key")).alias("p"), F.max_by("digest", F.xxhash64("digest", "key")).alias("q")).filter("lo <> hi")
     buckets = stored(members.join(ends, "key"), "buckets")
     near = lambda p: buckets.filter(f"digest <> {p}").select(F.greatest("digest", p).alias("a"), F.least("digest", p).alias("b"))
-    pairs = stored(near("lo").unionByName(near("hi")).distinct(), "pairs")
+    pairs = stored(near("lo").unionByName(near("hi")).unionByName(near("p")).unionByName(near("q")).distinct(), "pairs")
     needed = buckets.select("digest").distinct()
     by_digest = docs.select(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), "text")
     texts = stored(picked(by_digest, needed, "digest").groupBy("digest").agg(F.first("text").alias("text")), "texts")
     links = stored(_verified(pairs, texts, weights), "links")
-    more = stored(_across(buckets.select("key", "digest", "short"), links).distinct().join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-    drop(buckets, pairs)
+    shorts = picked(marked.select("digest", "short"), needed, "digest").groupBy("digest").agg(F.first("short").alias("short"))
+    more = stored(_across(buckets.select("key", "digest"), links, texts.join(shorts, "digest"), weights).distinct().join(pairs, ["a", "b"], "left_anti"), "more-pairs")
     links = links.unionByName(stored(_verified(more, texts, weights), "more-links"))
     roots = components(links).withColumnsRenamed({"node": "digest", "root": "comp"})
     rows = marked.select("doc_id", "digest").join(roots, "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
