@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from segmenta.llm.encoding import word_encoder
-from segmenta.llm.store import atomic_file, new_path, stored
+from segmenta.llm.store import atomic_file, new_folder, stored
 from segmenta.llm.text import slices
 
 MAGIC = b"RPSHARD1"
@@ -158,7 +158,7 @@ class Shard:
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_ids: int = SHARD_IDS) -> tuple[str, DataFrame]:
     """Encode and write; (folder, manifest): a row per file with its place in the order and the ids before it."""
     spark = docs.sparkSession
-    root = new_path(spark, "token-shards")
+    root = new_folder(spark, "token-shards")
     end = struct.pack("<I", end_id)
 
     def write(batches):

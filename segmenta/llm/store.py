@@ -17,11 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines share, without a trailing slash."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="segmenta-")
-        spark.conf.set("spark.checkpoint.dir", at) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
@@ -45,6 +43,14 @@ def _path(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new path that exists, so that it can be listed even if nothing is written there."""
+    path = new_path(spark, name)
+    f, p = _path(spark, path)
+    f.mkdirs(p)
+    return path
+
+
 def drop(*tables: DataFrame | tuple[SparkSession, str]) -> None:
     """Delete stored tables that nothing will read again."""
     for t in tables:

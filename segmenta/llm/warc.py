@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmenta.llm.store import atomic_file, new_path, stored
+from segmenta.llm.store import atomic_file, new_folder, stored
 from segmenta.llm.text import slices
 
 ARCHIVE_BYTES = 8 << 20
@@ -145,7 +145,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None]]:
 
 def write_pages(pages: DataFrame) -> tuple[str, DataFrame]:
     """Archives of all pages; (folder, manifest with a row per archive)."""
-    root = new_path(pages.sparkSession, "warc")
+    root = new_folder(pages.sparkSession, "warc")
     kinds = pa.schema([("file", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64())])
 
     def write(batches):
