@@ -13,8 +13,7 @@ from segmenta.llm.store import new_path
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base or the learned list rejects go."""
-    found = quality_rules.judged(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return found.filter("kept").select(*docs.columns)
+    return quality_rules.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -153,3 +153,12 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rules = trained(docs, labels)
     out = statistics(docs).withColumns({"base_failed": base_failed(), "rule": emitted(rules)})
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that are kept, with the columns of docs.
+
+    The filter stands above a generator: pushed below the statistics it would repeat each of them in the next.
+    """
+    row = judged(docs, labels).select(F.inline(F.array(F.struct(*docs.columns, "kept"))))
+    return row.filter("kept").select(*docs.columns)
