@@ -10,8 +10,9 @@
 3. Texts that agree on all ``ROWS`` samples of a band are candidates. In a bucket every text is compared with four pivots,
    not with all. Texts of buckets that then still hold several components are joined across components by prefix filtering: two
    texts that are similar enough share a shingle among the rarest of both that make up more than a fifth of their weights.
-   That is exact; of those pairs the ones that agree in LIKELY samples are compared, which leaves out a similarity of just
-   0.8 in one pair of forty, and only where no other link joins the two. No group is expanded into all its pairs.
+   That is exact. Of those pairs the ones whose bitmaps allow the similarity are compared: bits that differ are elements that
+   differ, so this loses none and is sharp for texts of up to a few thousand words. For longer ones the samples decide:
+   pairs that agree in fewer than LIKELY are left out, which takes a similarity of just 0.8 in one pair of two thousand.
 4. Candidates are verified by their exact weighted Jaccard similarity on whole texts. idf weighs two texts' differences more
    than what a large group of copies shares, so a pair whose similarity by tf alone is high enough is a link as well.
    Classes are the components.
@@ -39,8 +40,10 @@ from segmenta.llm.text import byte_columns, mix, shingles, slices, word_hashes
 SIMILARITY, ROWS, BANDS = 0.8, 5, 16
 SAMPLES = ROWS * BANDS
 IDF_SPAN = 0.25
-#: Samples in which texts of different components must agree to be compared: two standard deviations below 0.8.
-LIKELY = round(0.70 * SAMPLES)
+#: Samples in which texts of different components must agree to be compared: more than three standard deviations below 0.8.
+LIKELY = round(0.65 * SAMPLES)
+#: Bits of the map that bounds how much two texts can share.
+BITMAP = 512
 SKETCH_BITS, _SLOTS = 20, 1 << 14
 #: Ids up to this number may be broadcast (8 bytes each); beyond it the same join is shuffled.
 SMALL = 1 << 20
@@ -74,7 +77,6 @@ class Weights:
         h, n = np.unique(shingles(words), return_counts=True)
         return h, n.astype(np.float32) * self.idf[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
 
-
     def tf(self, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return h, np.rint(w / self.idf[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)])
 
@@ -177,8 +179,26 @@ def prefix(h: np.ndarray, w: np.ndarray, weights: Weights) -> np.ndarray:
     return h[order[:n]]
 
 
+def bitmap(h: np.ndarray, w: np.ndarray, weights: Weights) -> np.ndarray:
+    """The parity of the elements (shingle, occurrence) that fall on each bit, as 64-bit words."""
+    n = weights.tf(h, w)[1].astype(np.int64)
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = mix(np.repeat(h, n) ^ mix(nth.astype(np.uint64) + np.uint64(1))) % np.uint64(BITMAP)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=BITMAP) & 1).view(np.uint64)
+
+
+def may_be_similar(one: np.ndarray, others: np.ndarray, weight: float, weights_of: np.ndarray) -> np.ndarray:
+    """Which of the others may be as similar as SIMILARITY to one, by bitmaps and total weights; never false for a pair that is.
+
+    Elements weigh at least 1, so the sets differ in at least as much weight as their bitmaps in bits, and with a total
+    weight of W and a difference of D the similarity is (W - D) / (W + D). By tf alone W is less, so this bounds both.
+    """
+    differ = np.bitwise_count(others ^ one).sum(1, dtype=np.int64)
+    return differ <= (weight + weights_of) * ((1 - SIMILARITY) / (1 + SIMILARITY)) * (1 + 1e-5)
+
+
 def _across(members: DataFrame, links: DataFrame, texts: DataFrame, weights) -> DataFrame:
-    """Pairs (a, b) in different components of open buckets that share a shingle of both prefixes and LIKELY samples; members: key, digest."""
+    """Pairs (a, b) in different components of open buckets that share a shingle of both prefixes, may be similar by bitmap and agree in LIKELY samples; members: key, digest."""
     roots = components(links).withColumnsRenamed({"node": "digest", "root": "comp"})
     rows = members.join(roots, "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
     open_keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
@@ -186,43 +206,51 @@ def _across(members: DataFrame, links: DataFrame, texts: DataFrame, weights) ->
 
     def spread(batches):
         for batch in batches:
-            out = []
+            out, maps, totals = [], [], []
             for k, words in _each_text(batch):
-                p = prefix(*weights.value.of(words), weights.value).view(np.int64)
+                h, w = weights.value.of(words)
+                p = prefix(h, w, weights.value).view(np.int64)
                 out.append((p, np.full(len(p), k)))
+                maps.append(bitmap(h, w, weights.value).tobytes())
+                totals.append(float(w.sum(dtype=np.float64)))
             if out:
                 tokens, at = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(tokens), *[batch.column(c).take(pa.array(at)) for c in ("digest", "comp", "short")]], ["token", "digest", "comp", "short"])
+                columns = [batch.column("digest"), batch.column("comp"), batch.column("short"), pa.array(maps, pa.binary()), pa.array(totals)]
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), *[c.take(pa.array(at)) for c in columns]], ["token", *kept])
 
     def meet(batches):
         token, held = None, []
 
         def pairs():
             # Sorted by component: each meets the texts of earlier components only, as one comparison of arrays.
-            bytes_of = np.frombuffer(b"".join(x[2] for x in held), np.uint8).reshape(len(held), -1)
+            bytes_of, maps = (np.frombuffer(b"".join(x[n] for x in held), t).reshape(len(held), -1) for n, t in ((2, np.uint8), (3, np.uint64)))
+            totals = np.array([x[4] for x in held])
             first, out = 0, ([], [])
-            for k, (c, d, _) in enumerate(held):
+            for k, (c, d, *_) in enumerate(held):
                 if k and c != held[k - 1][0]:
                     first = k
                 for a in range(0, first, 1 << 14):
-                    near = np.flatnonzero((bytes_of[a : min(first, a + (1 << 14))] == bytes_of[k]).sum(1) >= LIKELY)
+                    some = slice(a, min(first, a + (1 << 14)))
+                    near = a + np.flatnonzero(may_be_similar(maps[k], maps[some], totals[k], totals[some]))
+                    near = near[(bytes_of[near] == bytes_of[k]).sum(1) >= LIKELY]
                     for j in near.tolist():
-                        e = held[a + j][1]
+                        e = held[j][1]
                         out[0].append(max(d, e))
                         out[1].append(min(d, e))
             return pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in out], ["a", "b"])
 
         for batch in batches:
-            for t, d, c, x in zip(*(batch.column(n).to_pylist() for n in ("token", "digest", "comp", "short")), strict=True):
+            for t, d, c, *x in zip(*(batch.column(n).to_pylist() for n in ("token", *kept)), strict=True):
                 if t != token:
                     if len(held) > 1 and held[0][0] != held[-1][0]:
                         yield pairs()
                     token, held = t, []
-                held.append((c, d, x))
+                held.append((c, d, *x))
         if len(held) > 1 and held[0][0] != held[-1][0]:
             yield pairs()
 
-    tokens = open_texts.mapInArrow(spread, "token long, digest string, comp long, short binary")
+    kept = ["digest", "comp", "short", "bitmap", "total"]
+    tokens = open_texts.mapInArrow(spread, "token long, digest string, comp long, short binary, bitmap binary, total double")
     return tokens.repartition("token").sortWithinPartitions("token", "comp").mapInArrow(meet, "a string, b string")
 
 

@@ -93,6 +93,24 @@ def test_packing_is_gapless(docs, texts, empty):
     assert packing.pack(empty, WORD).count() == 0
 
 
+def test_bitmap_filter_never_loses_a_similar_pair():
+    rng = np.random.default_rng(3)
+    sketch = rng.poisson(2, 1 << near_dedup.SKETCH_BITS).astype(np.float64) * rng.choice([1, 40, 4000], 1 << near_dedup.SKETCH_BITS)
+    weights = near_dedup.Weights(sketch, 5000)
+    kept = similar = 0
+    for _ in range(3000):
+        base = rng.integers(0, 1 << 63, rng.integers(1, 400)).astype(np.uint64)
+        changed = rng.random(len(base)) < rng.choice([0.0, 0.02, 0.05, 0.1, 0.2])
+        other = np.where(changed, rng.choice(base, len(base)), base) if rng.random() < 0.5 else np.where(changed, base ^ np.uint64(1), base)
+        one, two = weights.of(base), weights.of(other)
+        maps = [near_dedup.bitmap(*x, weights) for x in (one, two)]
+        may = bool(near_dedup.may_be_similar(maps[0], maps[1][None], float(one[1].sum(dtype=np.float64)), np.array([two[1].sum(dtype=np.float64)]))[0])
+        is_similar = near_dedup.similar(one, two, weights)
+        assert may or not is_similar
+        kept, similar = kept + may, similar + is_similar
+    assert 500 < similar <= kept < 2700
+
+
 def test_near_classes_match_brute_force(docs, texts, empty):
     got = {r.doc_id: r.class_id for r in near_dedup.near_classes(docs).collect()}
     sets = [{tuple((t or "").split()[k : k + 5]) for k in range(len((t or "").split()) - 4)} or {(t or "",)} for t in texts]
