@@ -31,7 +31,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality rules", quality), ("near-duplicates", near_duplicates), ("substring dedup", passages), ("packing", packed)]
-#: Learned rules, weighted samples and tokens have no SQL; tests hold the stages against brute force.
+#: Learned rules, weighted samples and tokens have no SQL; the operators are tested one by one, the run as a whole is not yet.
 ORACLE_SQL: str | None = None
 
 
