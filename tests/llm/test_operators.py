@@ -147,6 +147,20 @@ def test_passages_match_brute_force(docs, texts, empty):
     assert passage_dedup.repeats(empty).count() == 0
 
 
+def test_passages_with_a_frequent_paragraph(spark):
+    """F < A < X < B all have the only paragraph of a passage that A and B alone share."""
+    for seed in range(3):
+        rng = random.Random(seed)
+        passage = sentence(rng, 50).split()
+        words, first = passage_dedup.word_hashes(np.frombuffer(" ".join(passage).encode(), np.uint8), np.array([0, len(" ".join(passage))]))
+        place = int(passage_dedup.units(words)[0][0])
+        unit = passage[place : place + 20]
+        around = lambda middle: " ".join([sentence(rng, 60), *middle, sentence(rng, 60)])
+        rows = [(0, around(unit)), (1, around(passage)), (2, around(unit)), (3, around(passage))]
+        got = {(r.doc_id, r.removed) for r in passage_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(1)).collect()}
+        assert got == {(1, False), (3, True)}
+
+
 def test_quality_statistics(docs, texts):
     for r in quality_rules.statistics(docs).collect():
         t = texts[r.doc_id] or ""
