@@ -161,6 +161,18 @@ def test_passages_with_a_frequent_paragraph(spark):
         assert got == {(1, False), (3, True)}
 
 
+def test_passages_go_only_where_a_copy_stays(spark):
+    """A popular passage within a longer repeat, and a staggered overlap: every word stays somewhere, in one document."""
+    rng = random.Random(8)
+    p, left, right, s = sentence(rng, 60), sentence(rng, 220), sentence(rng, 220), sentence(rng, 120).split()
+    rows = [(0, sentence(rng, 40) + " " + p), (1, f"{left} {p} {right}"), (2, f"{left} {p} {right}")]
+    rows += [(10, " ".join(s[:60]) + " " + sentence(rng, 30)), (11, " ".join(s)), (12, sentence(rng, 30) + " " + " ".join(s[55:]))]
+    out = {r.doc_id: r.text.split() for r in passage_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0] == rows[0][1].split() and out[1] == f"{left} {right}".split() and out[2] == []
+    assert out[10] == rows[3][1].split() and out[11] == s[60:] and out[12] == rows[5][1].split()[:30]
+    assert passage_dedup.cut_words("a b c d e f", [(0, 5), (1, 2), (4, 5)]) == " f"
+
+
 def test_quality_statistics(docs, texts):
     for r in quality_rules.statistics(docs).collect():
         t = texts[r.doc_id] or ""
