@@ -149,16 +149,33 @@ def test_passages_match_brute_force(docs, texts, empty):
 
 def test_passages_with_a_frequent_paragraph(spark):
     """F < A < X < B all have the only paragraph of a passage that A and B alone share."""
-    for seed in range(3):
+    def hashes(x):
+        return passage_dedup.word_hashes(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x)]))[0]
+
+    for seed in range(1000):
         rng = random.Random(seed)
         passage = sentence(rng, 50).split()
-        words, first = passage_dedup.word_hashes(np.frombuffer(" ".join(passage).encode(), np.uint8), np.array([0, len(" ".join(passage))]))
-        place = int(passage_dedup.units(words)[0][0])
-        unit = passage[place : place + 20]
+        place = int(passage_dedup.units(hashes(" ".join(passage)))[0][0])
         around = lambda middle: " ".join([sentence(rng, 60), *middle, sentence(rng, 60)])
-        rows = [(0, around(unit)), (1, around(passage)), (2, around(unit)), (3, around(passage))]
-        got = {(r.doc_id, r.removed) for r in passage_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(1)).collect()}
-        assert got == {(1, False), (3, True)}
+        rows = [(k, around(passage if k % 2 else passage[place : place + 20])) for k in range(4)]
+        if all({x - 60 for x in passage_dedup.units(hashes(rows[k][1]))[0].tolist() if 60 <= x <= 90} == {place} for k in (1, 3)):
+            break
+    got = {(r.doc_id, r.removed) for r in passage_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(1)).collect()}
+    assert got == {(1, False), (3, True)}
+
+
+def test_passage_matches_keep_long_stretches():
+    """A line of the repeat that the other text has twice doesn't break the repeat up."""
+    rng = np.random.default_rng(4)
+    words = rng.integers(0, 1 << 60, 2000).astype(np.uint64)
+    a, b = np.concatenate([words[:30], words[100:170], words[1900:]]), words.copy()
+    b[1000:1024] = b[123:147]
+    assert passage_dedup.matches(a, b, [(53, 123, True), (53, 1000, True)]) == [(30, 100, 100, 170)]
+    a[60] ^= np.uint64(1)  # of one wrong word, two stretches are still one repeat
+    assert passage_dedup.matches(a, b, [(33, 103, True), (65, 135, True)]) == [(30, 100, 100, 170)]
+    # The same words twice in the other text are two repeats.
+    b[1500:1570] = words[100:170]
+    assert [x[2] for x in passage_dedup.matches(a, b, [(33, 103, True), (65, 135, True), (33, 1503, True), (65, 1535, True)])] == [100, 1500]
 
 
 def test_passages_go_only_where_a_copy_stays(spark):
