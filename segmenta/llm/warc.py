@@ -2,7 +2,9 @@
 
 The reader checks every record: the member's checksum, the version line, the declared length, the closing line ends and the
 payload digest. After a failed check it looks for the next byte that starts a valid member or version line, goes on from
-there, and logs the bytes between as a quarantined gap; nothing after a damaged place is lost with it.
+there, and logs the bytes between as a quarantined gap; nothing after a damaged place is lost with it. What comes out of a
+damaged member is searched for version lines in the same way; where its checksum fails, only responses whose payload digest
+is right are taken from it.
 
 Contract of ``write_pages``: of rows with equal payloads those with the smallest page_id are responses (a null id only where
 no row has an id), the others revisits; a null html is empty; an empty table gives no archives; extra columns are ignored.
@@ -83,21 +85,42 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int] | None:
     return {"type": kind, "id": fields.get("WARC-Record-ID"), "uri": fields.get("WARC-Target-URI"), "refers_to": fields.get("WARC-Refers-To"), "digest": declared, "length": length, "payload": payload}, end + 4
 
 
-def inflate(data: bytes, at: int) -> tuple[bytes, int] | None:
-    """A whole gzip member's content and where the member ends, or None if it is damaged."""
+def inflate(data: bytes, at: int) -> tuple[bytes, int | None]:
+    """What a gzip member holds and where the member ends; if it is damaged, what comes out before that and None."""
     z, out, here = zlib.decompressobj(31), [], at
-    try:
-        while not z.eof:
-            chunk = data[here : here + _STEP]
-            if not chunk:
-                return None
+    while not z.eof:
+        chunk = data[here : here + _STEP]
+        if not chunk:
+            return b"".join(out), None
+        before = z.copy()
+        try:
             out.append(z.decompress(chunk))
-            here += len(chunk)
-    except zlib.error:
-        return None
+        except zlib.error:
+            try:
+                for k in range(len(chunk)):  # a failed call gives nothing of its chunk
+                    out.append(before.decompress(chunk[k : k + 1]))
+            except zlib.error:
+                pass
+            return b"".join(out), None
+        here += len(chunk)
     return b"".join(out), here - len(z.unused_data)
 
 
+def _inside(content: bytes) -> tuple[list[dict], bool]:
+    """The whole records of a member's content, and whether they are all of it; looks for version lines after a failed one."""
+    found, at, whole = [], 0, True
+    while at < len(content):
+        if one := parse_record(content, at):
+            found.append(one[0])
+            at = one[1]
+            continue
+        whole = False
+        at = content.find(b"\n" + VERSION_LINE, at) + 1
+        if not at:
+            break
+    return found, whole
+
+
 def _next(data: bytes, at: int) -> int:
     """The next byte from ``at`` on that may start a member or, at a line's start, a version line; else the end."""
     found = data.find(MEMBER, at)
@@ -110,37 +133,33 @@ def _next(data: bytes, at: int) -> int:
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None]]:
     """(begin, end, record) of what is whole; (begin, end, None) for each quarantined gap. They cover the file in order."""
     at = gap = 0
+    saved: list[dict] = []  # from the damaged member at the gap's begin
     while at < len(data):
         found: list[dict] = []
-        end = at
-        if data[at : at + 3] == MEMBER and (got := inflate(data, at)):
-            content, inner = got[0], 0
-            while inner < len(content) and (one := parse_record(content, inner)):
-                found.append(one[0])
-                inner = one[1]
-            if found:
-                end = got[1]
-                bad = inner < len(content)
-                if bad:  # a whole member with records that fail: keep those before, go on inside
-                    inside = [x for _, _, x in salvage(content[inner:]) if x]
-                    found += inside
-                    if gap < at:
-                        yield gap, at, None
-                    yield from ((at, end, x) for x in found)
-                    yield at, end, None
-                    at = gap = end
-                    continue
+        end, whole = at, True
+        if data[at : at + 3] == MEMBER:
+            content, stop = inflate(data, at)
+            found, whole = _inside(content)
+            if stop is not None:
+                end = stop
+            elif found := [x for x in found if x["type"] == "response" and x["digest"]]:  # no checksum: only what has a digest
+                if gap < at:
+                    yield from ((gap, at, x) for x in [*saved, None])
+                gap, saved, found = at, found, []
         elif one := parse_record(data, at):
             found, end = [one[0]], one[1]
         if found:
             if gap < at:
-                yield gap, at, None
+                yield from ((gap, at, x) for x in [*saved, None])
+                saved = []
             yield from ((at, end, x) for x in found)
+            if not whole:  # a whole member with records that fail
+                yield at, end, None
             at = gap = end
         else:
             at = _next(data, at + 1)
     if gap < len(data):
-        yield gap, len(data), None
+        yield from ((gap, len(data), x) for x in [*saved, None])
 
 
 def write_pages(pages: DataFrame) -> tuple[str, DataFrame]:

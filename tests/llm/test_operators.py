@@ -255,6 +255,26 @@ def test_warc_round_trip_and_salvage(spark):
     assert warc.archived_pages(pages.limit(0)).count() == 0
 
 
+def test_warc_salvage_within_a_member():
+    rng = random.Random(6)
+    records = [warc.record(k, "u", sentence(rng, 9000).encode()) for k in range(9)]
+    good = warc.member(warc.record(9, "u", b"after"))
+    ids = lambda data: [x["id"] for *_, x in warc.salvage(data) if x]
+    want = lambda *some: [f"<urn:page:{k}>" for k in some]
+    gaps = lambda data: [(a, b) for a, b, x in warc.salvage(data) if x is None]
+    # The first record's digest fails in a member that is whole.
+    one = warc.member(b"".join([records[0].replace(b"sha1:", b"sha1:X"), *records[1:]]))
+    assert ids(one + good) == want(*range(1, 10)) and gaps(one + good) == [(0, len(one))]
+    # A wrong checksum, a deflate error and a missing end keep what inflated before them.
+    one = bytearray(warc.member(b"".join(records)))
+    one[-8] ^= 255
+    assert ids(bytes(one) + good) == want(*range(10)) and gaps(bytes(one) + good) == [(0, len(one))]
+    for cut in (one[: len(one) // 2], one[: len(one) // 2] + b"\xff" * 400):
+        got = ids(good + bytes(cut) + good)
+        assert got[0] == got[-1] == "<urn:page:9>" and got[1:-1] == want(*range(len(got) - 2)) and len(got) >= 5
+        assert gaps(good + bytes(cut) + good) == [(len(good), len(good) + len(cut))]
+
+
 def test_tiered_store(docs, empty):
     store, version = shards.compacted(docs, arrivals=9, base_bytes=1 << 30)
     assert store.read().drop("shard").exceptAll(docs).count() == 0 and store.read().count() == docs.count()
