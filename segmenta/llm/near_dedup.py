@@ -11,8 +11,7 @@
    not with all. Texts of buckets that then still hold several components are joined across components by prefix filtering: two
    texts that are similar enough share a shingle among the rarest of both that make up more than a fifth of their weights.
    That is exact. Of those pairs the ones whose bitmaps allow the similarity are compared: bits that differ are elements that
-   differ, so this loses none and is sharp for texts of up to a few thousand words. For longer ones the samples decide:
-   pairs that agree in fewer than LIKELY are left out, which takes a similarity of just 0.8 in one pair of two thousand.
+   differ, so this loses none; it is sharp for texts of up to a few thousand words, and lets most pairs of longer ones through.
 4. Candidates are verified by their exact weighted Jaccard similarity on whole texts. idf weighs two texts' differences more
    than what a large group of copies shares, so a pair whose similarity by tf alone is high enough is a link as well.
    Classes are the components.
@@ -40,8 +39,6 @@ from segmenta.llm.text import byte_columns, mix, shingles, slices, word_hashes
 SIMILARITY, ROWS, BANDS = 0.8, 5, 16
 SAMPLES = ROWS * BANDS
 IDF_SPAN = 0.25
-#: Samples in which texts of different components must agree to be compared: more than three standard deviations below 0.8.
-LIKELY = round(0.65 * SAMPLES)
 #: Bits of the map that bounds how much two texts can share.
 BITMAP = 512
 SKETCH_BITS, _SLOTS = 20, 1 << 14
@@ -136,16 +133,15 @@ def picked(rows: DataFrame, ids: DataFrame, key: str, kind: str = "left_semi") -
 def _signatures(docs: DataFrame, weights) -> DataFrame:
     def run(batches):
         for batch in batches:
-            out, short = [], []
+            out = []
             for _, words in _each_text(batch):
                 h, w = weights.value.of(words)
                 drawn = samples(h, w) if len(h) else np.zeros(0, np.uint64)
                 out.append(band_keys(drawn) if len(h) else np.zeros(0, np.int64))
-                short.append((drawn & np.uint64(255)).astype(np.uint8).tobytes())
             texts = [(x or "").encode() for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([hashlib.md5(x).hexdigest() for x in texts], pa.string()), pa.array(out, pa.list_(pa.int64())), pa.array(short, pa.binary())], ["doc_id", "digest", "bands", "short"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([hashlib.md5(x).hexdigest() for x in texts], pa.string()), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "digest", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, digest string, bands array<long>, short binary")
+    return docs.mapInArrow(run, "doc_id long, digest string, bands array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
@@ -198,7 +194,7 @@ def may_be_similar(one: np.ndarray, others: np.ndarray, weight: float, weights_o
 
 
 def _across(members: DataFrame, links: DataFrame, texts: DataFrame, weights) -> DataFrame:
-    """Pairs (a, b) in different components of open buckets that share a shingle of both prefixes, may be similar by bitmap and agree in LIKELY samples; members: key, digest."""
+    """Pairs (a, b) in different components of open buckets that share a shingle of both prefixes and may be similar by bitmap; members: key, digest."""
     roots = components(links).withColumnsRenamed({"node": "digest", "root": "comp"})
     rows = members.join(roots, "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
     open_keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
@@ -215,7 +211,7 @@ def _across(members: DataFrame, links: DataFrame, texts: DataFrame, weights) ->
                 totals.append(float(w.sum(dtype=np.float64)))
             if out:
                 tokens, at = (np.concatenate(x) for x in zip(*out, strict=True))
-                columns = [batch.column("digest"), batch.column("comp"), batch.column("short"), pa.array(maps, pa.binary()), pa.array(totals)]
+                columns = [batch.column("digest"), batch.column("comp"), pa.array(maps, pa.binary()), pa.array(totals)]
                 yield pa.RecordBatch.from_arrays([pa.array(tokens), *[c.take(pa.array(at)) for c in columns]], ["token", *kept])
 
     def meet(batches):
@@ -223,8 +219,8 @@ def _across(members: DataFrame, links: DataFrame, texts: DataFrame, weights) ->
 
         def pairs():
             # Sorted by component: each meets the texts of earlier components only, as one comparison of arrays.
-            bytes_of, maps = (np.frombuffer(b"".join(x[n] for x in held), t).reshape(len(held), -1) for n, t in ((2, np.uint8), (3, np.uint64)))
-            totals = np.array([x[4] for x in held])
+            maps = np.frombuffer(b"".join(x[2] for x in held), np.uint64).reshape(len(held), -1)
+            totals = np.array([x[3] for x in held])
             first, out = 0, ([], [])
             for k, (c, d, *_) in enumerate(held):
                 if k and c != held[k - 1][0]:
@@ -232,7 +228,6 @@ def _across(members: DataFrame, links: DataFrame, texts: DataFrame, weights) ->
                 for a in range(0, first, 1 << 14):
                     some = slice(a, min(first, a + (1 << 14)))
                     near = a + np.flatnonzero(may_be_similar(maps[k], maps[some], totals[k], totals[some]))
-                    near = near[(bytes_of[near] == bytes_of[k]).sum(1) >= LIKELY]
                     for j in near.tolist():
                         e = held[j][1]
                         out[0].append(max(d, e))
@@ -249,8 +244,8 @@ def _across(members: DataFrame, links: DataFrame, texts: DataFrame, weights) ->
         if len(held) > 1 and held[0][0] != held[-1][0]:
             yield pairs()
 
-    kept = ["digest", "comp", "short", "bitmap", "total"]
-    tokens = open_texts.mapInArrow(spread, "token long, digest string, comp long, short binary, bitmap binary, total double")
+    kept = ["digest", "comp", "bitmap", "total"]
+    tokens = open_texts.mapInArrow(spread, "token long, digest string, comp long, bitmap binary, total double")
     return tokens.repartition("token").sortWithinPartitions("token", "comp").mapInArrow(meet, "a string, b string")
 
 
@@ -272,8 +267,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     by_digest = docs.select(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), "text")
     texts = stored(picked(by_digest, needed, "digest").groupBy("digest").agg(F.first("text").alias("text")), "texts")
     links = stored(_verified(pairs, texts, weights), "links")
-    shorts = picked(marked.select("digest", "short"), needed, "digest").groupBy("digest").agg(F.first("short").alias("short"))
-    more = stored(_across(buckets.select("key", "digest"), links, texts.join(shorts, "digest"), weights).distinct().join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+    more = stored(_across(buckets.select("key", "digest"), links, texts, weights).distinct().join(pairs, ["a", "b"], "left_anti"), "more-pairs")
     links = links.unionByName(stored(_verified(more, texts, weights), "more-links"))
     roots = components(links).withColumnsRenamed({"node": "digest", "root": "comp"})
     rows = marked.select("doc_id", "digest").join(roots, "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))

@@ -111,6 +111,28 @@ def test_bitmap_filter_never_loses_a_similar_pair():
     assert 500 < similar <= kept < 2700
 
 
+def test_similar_texts_with_few_equal_samples_are_compared(spark):
+    """Texts alike by tf alone, whose rare differences leave few of their weighted samples equal."""
+    rng = random.Random(9)
+    hashes = lambda x: near_dedup.word_hashes(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x)]))[0]
+    for _ in range(20_000):
+        shared = sentence(rng, 85)
+        pair = [f"{shared} {sentence(rng, 10)}" for _ in range(2)]
+        sketch = np.zeros(1 << near_dedup.SKETCH_BITS)
+        sketch[(near_dedup.shingles(hashes(shared)) >> np.uint64(64 - near_dedup.SKETCH_BITS)).astype(np.int64)] = 4900
+        weights = near_dedup.Weights(sketch, 5000)
+        sets = [weights.of(hashes(x)) for x in pair]
+        drawn = [near_dedup.samples(*x) for x in sets]
+        low = [(x & np.uint64(255)).astype(np.uint8) for x in drawn]
+        if (low[0] == low[1]).sum() < 52 and near_dedup.similar(*sets, weights):
+            break
+    texts = spark.createDataFrame([(d, x, bytes(s)) for d, x, s in zip("pq", pair, low, strict=True)], "digest string, text string, short binary")
+    members = spark.createDataFrame([(1, "p"), (1, "q")], "key long, digest string")
+    links = spark.createDataFrame([], "a string, b string")
+    got = near_dedup._across(members, links, texts, spark.sparkContext.broadcast(weights)).distinct().collect()
+    assert [(r.a, r.b) for r in got] == [("q", "p")]
+
+
 def test_near_classes_match_brute_force(docs, texts, empty):
     got = {r.doc_id: r.class_id for r in near_dedup.near_classes(docs).collect()}
     sets = [{tuple((t or "").split()[k : k + 5]) for k in range(len((t or "").split()) - 4)} or {(t or "",)} for t in texts]
