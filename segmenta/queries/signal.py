@@ -96,12 +96,12 @@ def _(t):
 
 @query("separation_method_choice")
 def _(t):
-    return t.segments.filter("vec_id % 5 = 0").select("vec_id", _udf("status string, score double, method string")(_best)("signal").alias("s")).select("vec_id", "s.*")
+    return t.segments.select("vec_id", _udf("status string, score double, method string")(_best)("signal").alias("s")).select("vec_id", "s.*")
 
 
 @query("kurtosis_ga")
 def _(t):
-    return t.segments.filter("vec_id % 5 = 0").select("vec_id", _udf("status string, score double")(_genetic)("signal").alias("s")).select("vec_id", "s.*")
+    return t.segments.select("vec_id", _udf("status string, score double")(_genetic)("signal").alias("s")).select("vec_id", "s.*")
 
 
 @query("dwt_refine")
@@ -150,15 +150,15 @@ def _(t):
 
 @query("ridge")
 def _(t):
-    return long_segments(t).select("label", struct_column("ridge", "times array<double>, frequencies array<double>")("signal").alias("m")).select("label", "m.*")
+    return long_segments(t).select("label", "part", struct_column("ridge", "times array<double>, frequencies array<double>")("signal").alias("m")).select("label", "part", "m.*")
 
 
 def long_segments(t):
-    """Twenty vectors of each label in a row: at most 1 280 samples a label."""
+    """All vectors of each label, twenty in a row: part 0, 1, ... of at most 1 280 samples each."""
     from pyspark.sql.window import Window as W
 
-    x = t.segments.withColumn("rk", F.row_number().over(W.partitionBy("label").orderBy("vec_id"))).filter("rk <= 20")
-    return x.groupBy("label").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rk", "signal"))), lambda s: s.signal)).alias("signal"))
+    x = t.segments.withColumn("rk", F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1).withColumn("part", F.floor(F.col("rk") / 20))
+    return x.groupBy("label", "part").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rk", "signal"))), lambda s: s.signal)).alias("signal"))
 
 
 def _spectrogram(x: pd.Series) -> pd.Series:
@@ -167,7 +167,7 @@ def _spectrogram(x: pd.Series) -> pd.Series:
 
 @query("spectrogram")
 def _(t):
-    return long_segments(t).select("label", _udf("array<array<double>>")(_spectrogram)("signal").alias("density"))
+    return long_segments(t).select("label", "part", _udf("array<array<double>>")(_spectrogram)("signal").alias("density"))
 
 
 @query("tier_envelope")
@@ -177,13 +177,13 @@ def _(t):
 
 @query("tier_ridge")
 def _(t):
-    return long_segments(t).select("label", struct_column("tier_ridge", "slope double, variability double, reason string")("signal").alias("m")).select("label", "m.*")
+    return long_segments(t).select("label", "part", struct_column("tier_ridge", "slope double, variability double, reason string")("signal").alias("m")).select("label", "part", "m.*")
 
 
 @query("observation_features")
 def _(t):
     bands = ", ".join(f"band_{b} double" for b in (0, 100, 200, 400, 800, 1000))
-    return long_segments(t).select("label", struct_column("observations", f"rms double, peak double, tf_entropy double, flux double, {bands}")("signal").alias("m")).select("label", "m.*")
+    return long_segments(t).select("label", "part", struct_column("observations", f"rms double, peak double, tf_entropy double, flux double, {bands}")("signal").alias("m")).select("label", "part", "m.*")
 
 
 def _mel(x: pd.Series) -> pd.Series:
@@ -192,12 +192,12 @@ def _mel(x: pd.Series) -> pd.Series:
 
 @query("mel_spectrogram")
 def _(t):
-    return long_segments(t).select("label", _udf("array<array<double>>")(_mel)("signal").alias("image"))
+    return long_segments(t).select("label", "part", _udf("array<array<double>>")(_mel)("signal").alias("image"))
 
 
 @query("mfcc")
 def _(t):
-    return long_segments(t).select("label", array_column("mfcc")("signal").alias("mfcc"))
+    return long_segments(t).select("label", "part", array_column("mfcc")("signal").alias("mfcc"))
 
 
 def _mixture(seed: pd.Series, shape: pd.Series) -> pd.DataFrame:
