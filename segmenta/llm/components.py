@@ -18,21 +18,24 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hangs the larger neighbours of a node on its smallest one (large star), then its smaller ones (small star);
     edges never grow in number beyond twice the input and rounds grow with the logarithm of the longest path. Minima are
-    combined before the shuffle, so a node with a third of all edges is no hot key there, and AQE splits its join.
+    combined before the shuffle, so a node with a third of all edges is no hot key there; they are written as a table of their own,
+    so that both sides of the join are plain shuffles and AQE can split a star's centre. The result is a stored table.
     """
     now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(now)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        low = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), "lows")
         large = both.filter("b > a").join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = stored(large, "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         inner = large.join(least.withColumnRenamed("a", "u"), F.col("a") == F.col("u")).filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = stored(inner.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small-star")
         new = _state(after)
-        drop(large, now)
+        drop(large, low, now)
         now, old, state = after, state, new
         if new == old:
             roots = now.select(F.col("b").alias("node")).distinct()
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
+            out = stored(now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select("node", F.col("node").alias("root"))), "roots")
+            drop(now)
+            return out
