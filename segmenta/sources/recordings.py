@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import struct
 import tempfile
 import uuid
@@ -18,8 +19,12 @@ _STEM = "([^/]+)[.][a-z]+$"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared checkpoint folder, or on this machine where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    """A fresh folder in the shared checkpoint folder; where none is set, on this machine, if it is the only one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        base = "file://" + tempfile.gettempdir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
