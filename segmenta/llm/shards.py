@@ -2,11 +2,14 @@
 
 An arrival is appended as a run of small shards. Runs of similar size share a tier (each tier ``fanout`` times the one
 below); once a tier holds ``fanout`` runs, they are merged into one run of target-sized files, so a row is rewritten once a
-tier. Each step ends by a manifest of the next version, taken by creating its lock and shown by one rename; readers use the
-highest whole version and never see half a step. Old shards go only when no kept version names them.
-
-Contract: all rows and columns are kept as they are, nulls and repeated rows included; an empty arrival adds a run without
-rows; the order of rows isn't kept.
+tier. Each step ends by a manifest of the next version, which appears whole or not at all and only if no other writer has that
+version; there is no lock, so a writer that is lost leaves nothing that stops the next. Of two writers the later one reads the
+new version and tries again. Readers use the
+highest version and never see half a step. Old shards go only when no kept version names them.
+
+Contract: all rows and columns are kept as they are, nulls, repeated rows and columns of any name included; an empty arrival
+adds a run without rows; the order of rows isn't kept. ``read`` adds the column ``shard``, with underscores behind it where that
+name is taken.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import json
 import math
 import re
+import time
 import uuid
 from dataclasses import dataclass, field
 
@@ -23,6 +27,10 @@ from pyspark.sql import functions as F
 from segmenta.llm.store import _path, new_path, read_small, write_new
 
 
+class Conflict(RuntimeError):
+    """Another writer has that version."""
+
+
 @dataclass
 class TieredStore:
     spark: SparkSession
@@ -46,9 +54,8 @@ class TieredStore:
     def commit(self, seen: dict, runs: list[dict]) -> dict:
         """The next version; fails if another writer has taken it since ``seen`` was read."""
         after = {"version": seen["version"] + 1, "runs": runs}
-        f, lock = _path(self.spark, f"{self.root}/manifest/v{after['version']:08d}.lock")
-        if not f.createNewFile(lock) or not write_new(self.spark, f"{self.root}/manifest/v{after['version']:08d}.json", json.dumps(after)):
-            raise RuntimeError(f"another writer committed version {after['version']}")
+        if not write_new(self.spark, f"{self.root}/manifest/v{after['version']:08d}.json", json.dumps(after)):
+            raise Conflict(f"another writer committed version {after['version']}")
         return after
 
     def tier(self, n_bytes: int) -> int:
@@ -66,8 +73,14 @@ class TieredStore:
 
     def adopt(self, path: str) -> dict:
         """Append shards that are written already; merge the tiers that this fills."""
-        now = self.manifest()
-        now = self.commit(now, [*now["runs"], self._run(path)])
+        run = self._run(path)
+        while True:
+            now = self.manifest()
+            try:
+                now = self.commit(now, [*now["runs"], run])
+                break
+            except Conflict:
+                continue
         while full := [t for t in {r["tier"] for r in now["runs"]} if sum(r["tier"] == t for r in now["runs"]) >= self.fanout]:
             now = self.merge(now, min(full))
         return now
@@ -80,29 +93,54 @@ class TieredStore:
         rows.coalesce(max(1, -(-size // self.target_bytes))).write.option("compression", "zstd").parquet(path)  # joins scan splits; no shuffle
         merged = self._run(path)
         merged["tier"] = max(merged["tier"], tier + 1)
-        return self.commit(now, [*[r for r in now["runs"] if r["tier"] != tier], merged])
+        while True:
+            try:
+                return self.commit(now, [*[r for r in now["runs"] if r not in runs], merged])
+            except Conflict:
+                now = self.manifest()
+                if any(r not in now["runs"] for r in runs):  # another writer merged one of them
+                    self._delete(path)
+                    return now
+
+    def _delete(self, path: str) -> None:
+        f, p = _path(self.spark, path)
+        f.delete(p, True)
 
-    def vacuum(self, keep: int = 1) -> None:
-        """Drop manifests but the last ``keep`` and the runs that only the dropped ones name."""
+    def vacuum(self, keep: int = 1, orphans_after_s: float | None = None) -> None:
+        """Drop manifests but the last ``keep`` and the runs that only the dropped ones name; and, if asked for, what lost writers
+        left: files of the store that no version names and that have been unchanged for so long."""
         known = self.versions()
         kept = {r["path"] for v in known[-keep:] for r in self.manifest(v)["runs"]}
         old = {r["path"] for v in known[:-keep] for r in self.manifest(v)["runs"]} - kept
-        for at in [*old, *(f"{self.root}/manifest/v{v:08d}.{x}" for v in known[:-keep] for x in ("json", "lock"))]:
-            f, p = _path(self.spark, at)
-            f.delete(p, True)
+        for at in [*old, *(f"{self.root}/manifest/v{v:08d}.json" for v in known[:-keep])]:
+            self._delete(at)
+        for folder in ("data", "manifest") if orphans_after_s is not None else ():
+            f, p = _path(self.spark, f"{self.root}/{folder}")
+            for x in f.listStatus(p) if f.exists(p) else []:
+                name = str(x.getPath().getName())
+                named = re.fullmatch(r"v\d+\.json", name) or any(f"/data/{name}" == r[len(r) - len(name) - 6 :] or f"/data/{name}/" in r for r in kept)
+                if not named and time.time() - x.getModificationTime() / 1000 >= orphans_after_s:
+                    f.delete(x.getPath(), True)
 
     def read(self, version: int | None = None) -> DataFrame:
         """All rows of a version, with the shard each stands in."""
-        runs = self.manifest(version)["runs"]
-        return self.spark.read.parquet(*[r["path"] for r in runs]).withColumn("shard", F.col("_metadata.file_name"))
+        rows = self.spark.read.parquet(*[r["path"] for r in self.manifest(version)["runs"]])
+        return rows.withColumn(_free("shard", rows), F.col("_metadata.file_name"))
+
+
+def _free(name: str, rows: DataFrame) -> str:
+    """The name, with underscores behind it until no column has it."""
+    while name.lower() in {c.lower() for c in rows.columns}:
+        name += "_"
+    return name
 
 
 def compacted(docs: DataFrame, arrivals: int = 8, target_bytes: int = 128 << 20, base_bytes: int = 1 << 20) -> tuple[TieredStore, int]:
     """Bring in a table as arrivals dealt by doc_id, compacting as they come; the store and its last version."""
     spark = docs.sparkSession
     store = TieredStore(spark, new_path(spark, "tiered"), target_bytes, base_bytes)
-    dealt = f"{store.root}/data/arrivals"
-    docs.withColumn("arrival", F.pmod(F.xxhash64("doc_id"), F.lit(arrivals))).write.partitionBy("arrival").option("compression", "zstd").parquet(dealt)
+    dealt, arrival = f"{store.root}/data/arrivals", _free("arrival", docs)
+    docs.withColumn(arrival, F.pmod(F.xxhash64("doc_id"), F.lit(arrivals))).write.partitionBy(arrival).option("compression", "zstd").parquet(dealt)
     f, p = _path(spark, dealt)
     for status in sorted((str(x.getPath()) for x in f.listStatus(p) if x.isDirectory())):
         store.adopt(status)

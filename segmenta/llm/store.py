@@ -1,16 +1,18 @@
 """Shared storage of the operators: one folder that the driver and all executors see.
 
 The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a temporary folder
-is set. Tables are written by Spark's committers. Other files are written by executors through ``pyarrow.fs`` under a
+is set; on a cluster that is an error. Tables are written by Spark's committers. Other files are written by executors through ``pyarrow.fs`` under a
 name of the attempt and renamed when whole, so that a lost executor leaves at most an unused temporary file.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines share, without a trailing slash."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         at = "file://" + tempfile.mkdtemp(prefix="segmenta-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -60,17 +64,33 @@ def drop(*tables: DataFrame | tuple[SparkSession, str]) -> None:
 
 
 def write_new(spark: SparkSession, path: str, content: str) -> bool:
-    """Create a small file as one step; False if another writer already has that name."""
+    """Create a small file in one step that either shows it whole or, where the name is taken, changes nothing; False then.
+
+    A rename that doesn't replace does this in stores that rename in one step; a local file system has hard links for it.
+    """
     f, p = _path(spark, path)
-    if f.exists(p):
-        return False
-    _, q = _path(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    tmp = f"{path}.{uuid.uuid4().hex}.tmp"
+    _, q = _path(spark, tmp)
     out = f.create(q, False)
     out.write(bytearray(content.encode()))
     out.close()
-    if f.exists(p) or not f.rename(q, p):
-        f.delete(q, False)
+    jvm = spark._jvm
+    try:
+        if f.getScheme() == "file":
+            file = lambda x: jvm.java.io.File(f.makeQualified(x).toUri().getPath()).toPath()
+            jvm.java.nio.file.Files.createLink(file(p), file(q))
+        else:
+            none = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+            how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            how[0] = none
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration()).rename(q, p, how)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+            raise
         return False
+    finally:
+        if f.exists(q):
+            f.delete(q, False)
     return True
 
 
