@@ -6,7 +6,8 @@ prunes it from its end on the other part, keeps it if it is precise enough on bo
 The list is emitted as nested ``when`` expressions. Only the sample's statistics (at most ``SAMPLE`` rows) reach the driver.
 
 Contract: a null text has no words; repeated rows count as often as they come but a labelled id trains once; a null label
-doesn't train; without labels no rule is learned; extra columns are kept by ``judged``.
+doesn't train; without labels no rule is learned; a null id is judged like any other; an empty table gives no rows; extra
+columns are kept by ``judged`` and ``accepted``, and one with the name of a result comes back from ``judged`` as input_<name>.
 """
 
 from __future__ import annotations
@@ -22,15 +23,18 @@ SAMPLE = 8000
 SPACE = "[ \\t-\\r]+"
 
 
-def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of docs and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_upper, n_marks, n_distinct."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    x = docs.withColumn("_w", F.array_remove(F.split(t, SPACE), ""))
+STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_distinct"]
+
+
+def _measured(docs: DataFrame, text: str = "text") -> DataFrame:
+    """_row (a row of docs) and its statistics, whatever the columns of docs are called."""
+    t = F.coalesce(F.col("_text"), F.lit(""))
+    x = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text")).withColumn("_w", F.array_remove(F.split(t, SPACE), ""))
     x = x.withColumns({
         "_h": F.expr("transform(_w, x -> xxhash64(x))"), "n_words": F.size("_w").cast("long"), "word_chars": F.length(F.array_join("_w", "")).cast("long"),
         "n_symbols": F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long"), "n_upper": F.regexp_count(t, F.lit("\\p{Lu}")).cast("long"), "n_marks": F.regexp_count(t, F.lit("!")).cast("long"),
-        "_l": F.expr(f"filter(split(coalesce({text}, ''), '\\n'), x -> x rlike '[^ \\\\t-\\\\r]')"),
-    }).drop("_w")
+        "_l": F.expr("filter(split(coalesce(_text, ''), '\\n'), x -> x rlike '[^ \\\\t-\\\\r]')"),
+    }).drop("_w", "_text")
     hashes = ", ".join(f"_h[i + {k}]" for k in range(5))
     x = x.withColumns({"n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"), "n_distinct": F.size(F.array_distinct("_h")).cast("long"), "_g": F.expr(f"if(size(_h) < 5, cast(array() as array<bigint>), transform(sequence(0, size(_h) - 5), i -> xxhash64({hashes})))")}).drop("_h", "_l")
     # Only texts with a repeated window pay for the sort that finds its places.
@@ -38,7 +42,17 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     twice = "(k > 0 and _s[k - 1].h = _s[k].h) or (k < size(_s) - 1 and _s[k + 1].h = _s[k].h)"
     x = x.withColumn("_p", F.expr(f"if(_s is null, null, sort_array(transform(filter(sequence(0, size(_s) - 1), k -> {twice}), k -> _s[k].i)))")).drop("_s")
     covered = "aggregate(_p, named_struct('last', -5, 'n', 0L), (a, i) -> named_struct('last', i, 'n', a.n + least(5, i - a.last)), a -> a.n)"
-    return x.withColumn("n_repeat_words", F.expr(f"if(_p is null, 0L, {covered})")).drop("_p")
+    return x.withColumn("n_repeat_words", F.expr(f"if(_p is null, 0L, {covered})")).select("_row", *STATISTICS)
+
+
+def _attached(docs: DataFrame, measured: DataFrame, results: list[str]) -> DataFrame:
+    taken = {x.lower() for x in results}
+    return measured.select(*[F.col("_row")[c].alias(f"input_{c}" if c.lower() in taken else c) for c in docs.columns], *results)
+
+
+def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
+    """All columns of docs and the ``STATISTICS``; a column of docs with such a name comes back as input_<name>."""
+    return _attached(docs, _measured(docs, text), STATISTICS)
 
 
 def base_failed() -> Column:
@@ -148,17 +162,21 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Ru
     return learn([({k: float(r[k]) for k in names}, r.quality == 0) for r in found])
 
 
-def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with the statistics, base_failed, rule (the number of the rule that rejects, else 0) and kept."""
+def _judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rules = trained(docs, labels)
-    out = statistics(docs).withColumns({"base_failed": base_failed(), "rule": emitted(rules)})
+    out = _measured(docs).withColumns({"base_failed": base_failed(), "rule": emitted(rules)})
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
+def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs with the statistics, base_failed, rule (the number of the rule that rejects, else 0) and kept."""
+    return _attached(docs, _judged(docs, labels), [*STATISTICS, "base_failed", "rule", "kept"])
+
+
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with the columns of docs.
+    """The rows of docs that are kept, with the columns of docs as they are.
 
     The filter stands above a generator: pushed below the statistics it would repeat each of them in the next.
     """
-    row = judged(docs, labels).select(F.inline(F.array(F.struct(*docs.columns, "kept"))))
-    return row.filter("kept").select(*docs.columns)
+    row = _judged(docs, labels).select(F.inline(F.array(F.struct("_row", "kept"))))
+    return row.filter("kept").select("_row.*")
