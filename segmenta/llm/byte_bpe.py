@@ -6,7 +6,10 @@ was found to be a dead end, it tries the next shorter prefix, and where none is
 stand together if merging their joined bytes gives just these two; that is memoised. A sequence of pairwise compatible
 tokens is the one that merging by ranks gives, and every byte is a dead end at most once, so the work is linear.
 
-Contract: a null text is empty and has no ids; the library takes a piece that is a token as it is, and so does this.
+The library takes a piece that is a token as it is, and so does this.
+
+Contract: a row per row, repeated rows and null ids included; a null text is empty and has no ids; an empty table gives no rows;
+extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -7,8 +7,9 @@ text's distinct features go, 160 to a filter, into Bloom filters of 2048 bits wi
 compares each filter of the smaller digest with its best match in the other: overlap above chance, as a part of the most
 that is possible. Texts under 64 bytes have one feature, the whole text; the empty text has none.
 
-Contract: null text is empty; the order is doc_id descending with null ids last and equal ids by text; the last row's next
-is the first, a single row's next is itself; equal fingerprints have likeness 1, an empty digest against another 0.
+Contract: null text is empty; the order is doc_id descending with null ids last and equal ids by text, so repeated rows are each
+other's next; the last row's next is the first, a single row's next is itself; equal fingerprints have likeness 1, an empty digest
+against another 0; an empty table gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

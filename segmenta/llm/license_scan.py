@@ -6,8 +6,9 @@ few words apart are merged (words put in or left out shift the rest), and the sp
 of two to four words are templates whose k is 2 and which must match as a whole. The templates are a fixed set that grows
 with this file and not with the corpus, so their side of the join is broadcast.
 
-Contract: words are runs of 0-9, a-z (A-Z lowered) and non-ASCII characters; a null text is empty; rows with the same id and
-text have the same result each; extra columns are ignored.
+Contract: words are runs of 0-9, a-z (A-Z lowered) and non-ASCII characters; a null text is empty; a row per row, null ids
+included, and rows with the same id and text have the same result each; an empty table gives no rows; extra columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations

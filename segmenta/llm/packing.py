@@ -5,8 +5,9 @@ most ``size`` numbers) reaches the driver; best fit in falling length is run ove
 ``size`` and not on the corpus. Each planned run gives sequence and place for a range of ranks within one length; a piece's
 rank is its task's number for that length plus the count in earlier tasks, so no sort and no global window is needed.
 
-Contract: a null or empty text is the end id alone; repeated rows are packed as often as they come; ties within a length are
-interchangeable; extra columns are ignored; an empty table gives no pieces.
+Contract: a null or empty text is the end id alone; a null id is packed like any other; repeated rows are packed as often as
+they come; ties within a length are interchangeable; extra columns, whatever their names, are ignored; an empty table gives no
+pieces.
 """
 
 from __future__ import annotations
@@ -97,9 +98,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048) ->
     slots = spark.createDataFrame(runs, "length long, lo long, hi long, first_sequence long, each long, place long")
     earlier = counts.select("part", "length", (F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")).alias("earlier"))
     rank = F.col("earlier") + F.col("nth")
-    # The plan's size depends on `size` alone, never on the corpus: a few runs for each length.
+    # The plan's size depends on `size` alone, never on the corpus: a few runs for each length. What stands in earlier tasks
+    # grows with the tasks, so that join is shuffled, by task and length.
     short = (
-        pieces.filter(F.col("length") < size).join(earlier, ["part", "length"]).withColumn("rank", rank)
+        pieces.filter(F.col("length") < size).join(earlier.hint("merge"), ["part", "length"]).withColumn("rank", rank)
         .join(F.broadcast(slots), "length").filter((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
         .select("doc_id", "piece", "start", "length", "ids_crc32",
                 F.expr("first_sequence + (rank - lo) div each").alias("sequence_id"), F.expr("place + (rank - lo) % each * length").alias("offset"))
