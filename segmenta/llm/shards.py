@@ -40,10 +40,13 @@ class TieredStore:
     fanout: int = 4
     _sizes: dict[str, int] = field(default_factory=dict)
 
+    def _names(self, folder: str) -> dict[str, float]:
+        """What a folder of the store holds, and when each was last changed."""
+        f, p = _path(self.spark, f"{self.root}/{folder}")
+        return {str(x.getPath().getName()): x.getModificationTime() / 1000 for x in f.listStatus(p)} if f.exists(p) else {}
+
     def versions(self) -> list[int]:
-        f, p = _path(self.spark, f"{self.root}/manifest")
-        names = [str(x.getPath().getName()) for x in f.listStatus(p)] if f.exists(p) else []
-        return sorted(int(m[1]) for x in names if (m := re.fullmatch(r"v(\d+)\.json", x)))
+        return sorted(int(m[1]) for x in self._names("manifest") if (m := re.fullmatch(r"v(\d+)\.json", x)))
 
     def manifest(self, version: int | None = None) -> dict:
         known = self.versions()
@@ -114,13 +117,12 @@ class TieredStore:
         old = {r["path"] for v in known[:-keep] for r in self.manifest(v)["runs"]} - kept
         for at in [*old, *(f"{self.root}/manifest/v{v:08d}.json" for v in known[:-keep])]:
             self._delete(at)
+        here = f"/{self.root.rstrip('/').rpartition('/')[2]}/data/"  # paths may come back with their scheme written otherwise
+        named = {r.rpartition(here)[2].partition("/")[0] for r in kept}
         for folder in ("data", "manifest") if orphans_after_s is not None else ():
-            f, p = _path(self.spark, f"{self.root}/{folder}")
-            for x in f.listStatus(p) if f.exists(p) else []:
-                name = str(x.getPath().getName())
-                named = re.fullmatch(r"v\d+\.json", name) or any(f"/data/{name}" == r[len(r) - len(name) - 6 :] or f"/data/{name}/" in r for r in kept)
-                if not named and time.time() - x.getModificationTime() / 1000 >= orphans_after_s:
-                    f.delete(x.getPath(), True)
+            for name, changed in self._names(folder).items():
+                if name not in named and not re.fullmatch(r"v\d+\.json", name) and time.time() - changed >= orphans_after_s:
+                    self._delete(f"{self.root}/{folder}/{name}")
 
     def read(self, version: int | None = None) -> DataFrame:
         """All rows of a version, with the shard each stands in."""
