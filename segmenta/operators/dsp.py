@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from segmenta.functions import kernels as K
+from segmenta.functions import observation as O
 
 
 def _mapped(f, kind: str):
@@ -50,3 +51,9 @@ def array_column(name: str, kind: str = "array<double>"):
 def struct_column(name: str, kind: str):
     f = getattr(K, name)
     return _structs(lambda a: f(a), kind)
+
+
+def described(name: str):
+    """A descriptor of ``functions.observation`` by name as a column function."""
+    f = getattr(O, name)
+    return _structs(lambda a: f(a), O.KINDS[name])

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from segmenta.operators import orderstats as O
+
 
 def assert_unique(df: DataFrame, *keys: str) -> DataFrame:
     """df, failing at run time where a key repeats; one aggregation by key, which a join by the same key reuses."""
@@ -55,11 +57,10 @@ def lookup(df: DataFrame, key: str, codes: dict, name: str) -> DataFrame:
 
 def cliffs_delta(df: DataFrame, by: list[str], is_first: Column, value: str) -> DataFrame:
     """delta of the first group against the rest, from rank sums: no pairs are formed."""
-    g = df.groupBy(*by, value).agg(F.count(F.when(is_first, 1)).alias("a"), F.count(F.when(~is_first, 1)).alias("b"))
-    below = F.sum("b").over(W.partitionBy(*by).orderBy(value)) - F.col("b")
-    total = F.sum("b").over(W.partitionBy(*by))
-    x = g.withColumn("_s", F.col("a") * (below - (total - below - F.col("b"))))
-    return x.groupBy(*by).agg(F.try_divide(F.sum("_s").cast("double"), F.sum("a") * F.sum("b")).alias("delta")).filter("delta is not null")
+    rows = df.select(*by, value, is_first.alias("_f")).filter("_f is not null")
+    g = O.average_ranks(rows, by, {value: "_r"}).groupBy(*by).agg(F.count_if("_f").alias("a"), F.count_if(~F.col("_f")).alias("b"), F.sum(F.when(F.col("_f"), F.col("_r"))).alias("s"))
+    u = F.col("s") - F.col("a") * (F.col("a") + 1) / 2
+    return g.select(*by, F.try_divide(2 * u, (F.col("a") * F.col("b")).cast("double")).alias("_u")).select(*by, (F.col("_u") - 1).alias("delta")).filter("delta is not null")
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str) -> DataFrame:

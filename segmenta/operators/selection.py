@@ -8,13 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from segmenta.operators import orderstats as O
+
 
 def average_rank(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """Ranks from 1 with ties averaged, from the histogram of values: groups are combined before any window sees them."""
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    below = F.sum("_n").over(W.partitionBy(*by).orderBy(value)) - F.col("_n")
-    ranks = counts.select(*by, value, (below + (F.col("_n") + 1) / F.lit(2.0)).alias(name))
-    return df.join(ranks, [*by, value])
+    """Ranks from 1 with ties averaged."""
+    return O.average_ranks(df, by, {value: name})
 
 
 def holm(df: DataFrame, by: list[str], p: str, tie: str) -> DataFrame:
@@ -35,10 +34,10 @@ def true_runs(df: DataFrame, by: list[str], at: str, gap: int) -> DataFrame:
 
 def quartile_labels(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     """Right-closed bins at the quartiles, the least value included; equal edges fall together."""
-    edges = df.groupBy(*by).agg(F.percentile(value, [0.25, 0.5, 0.75]).alias("_q"))
+    edges = O.percentiles(df, by, {"_q": F.col(value)}, [0.25, 0.5, 0.75])
     v, q = F.col(value), F.col("_q")
     label = F.when(v <= q[0], "Q1").when(v <= q[1], "Q2").when(v <= q[2], "Q3").when(v.isNotNull(), "Q4")
-    return df.join(edges, by).withColumn(name, label).drop("_q")
+    return O.joined(df, edges, by).withColumn(name, label).drop("_q")
 
 
 def first_cycles(df: DataFrame, n: int) -> DataFrame:

@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segmenta.functions.hashing import md5_draw
-from segmenta.operators.selection import average_rank
+from segmenta.operators.orderstats import average_ranks
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str, name: str = "rho") -> DataFrame:
     """Rank correlation of complete pairs by group; none for fewer than three pairs or a constant side."""
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
-    r = average_rank(average_rank(d, by, x, "_rx"), by, y, "_ry")
+    r = average_ranks(d, by, {x: "_rx", y: "_ry"})
     g = r.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias(name))
     return g.withColumn(name, F.when((F.col("n") >= 3) & ~F.isnan(name), F.col(name)))
 
@@ -45,7 +45,7 @@ def corr_from_sums(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column,
 
 def mann_whitney(df: DataFrame, by: list[str], is_first: Column, value: str) -> DataFrame:
     """U of the first group, its sizes, and the two-sided normal p with tie and continuity corrections."""
-    r = average_rank(df.select(*by, value, is_first.alias("_f")), by, value, "_r")
+    r = average_ranks(df.select(*by, value, is_first.alias("_f")), by, {value: "_r"})
     ties = r.groupBy(*by, value).agg(F.count("*").alias("t")).groupBy(*by).agg(F.sum((F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double")).alias("ties"))
     g = r.groupBy(*by).agg(F.count_if("_f").alias("n1"), F.count_if(~F.col("_f")).alias("n2"), F.sum(F.when(F.col("_f"), F.col("_r"))).alias("s"))
     g = g.join(ties, by).withColumn("u", F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2)
@@ -62,7 +62,7 @@ def mann_whitney(df: DataFrame, by: list[str], is_first: Column, value: str) ->
 
 def kruskal(df: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
     """Tie-corrected H over groups, and epsilon squared."""
-    r = average_rank(df.select(*by, group, value), by, value, "_r")
+    r = average_ranks(df.select(*by, group, value), by, {value: "_r"})
     ties = r.groupBy(*by, value).agg(F.count("*").alias("t")).groupBy(*by).agg(F.sum((F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double")).alias("ties"))
     g = r.groupBy(*by, group).agg(F.count("*").alias("m"), F.sum("_r").alias("s")).groupBy(*by).agg(F.sum("m").alias("n"), F.count("*").alias("k"), F.sum(F.col("s") * F.col("s") / F.col("m")).alias("q"))
     n = F.col("n").cast("double")

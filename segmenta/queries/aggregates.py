@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from segmenta.functions import labels as L
+from segmenta.operators import orderstats as O
 from segmenta.plans.registry import query, r6
 
 KEY = ["recording_id", "cycle_index"]
@@ -25,7 +26,10 @@ def _(t):
     x = t.candidates.filter(PA)
     numeric = [c for c, k in x.dtypes if k == "double" and c in ("quantity", "price", "tax")]
     digits = {"price": 4}
-    return x.groupBy("murmur_phase", "timing_label").agg(F.count("*").alias("segment_count"), *[y for c in numeric for y in (r6(F.avg(c), digits.get(c, 6)).alias(f"{c}_mean"), r6(F.percentile(c, 0.5), digits.get(c, 6)).alias(f"{c}_median"))])
+    by = ["murmur_phase", "timing_label"]
+    g = x.groupBy(*by).agg(F.count("*").alias("segment_count"), *[r6(F.avg(c), digits.get(c, 6)).alias(f"{c}_mean") for c in numeric])
+    g = O.with_percentiles(g, x, by, {f"{c}_median": F.col(c) for c in numeric}, [0.5])
+    return g.withColumns({f"{c}_median": r6(F.col(f"{c}_median")[0], digits.get(c, 6)) for c in numeric})
 
 
 Q = {"q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9, "q95": 0.95, "q99": 0.99}
@@ -33,7 +37,7 @@ Q = {"q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9, "q95": 0.95, "q99": 0.99}
 
 @query("robust_quantiles", "SELECT status, " + ", ".join(f"round(quantile_cont(price, {q}), 4) AS {k}" for k, q in Q.items()) + ", round(quantile_cont(price, 0.75) - quantile_cont(price, 0.25), 4) AS iqr FROM candidates GROUP BY 1")
 def _(t):
-    g = t.candidates.groupBy("status").agg(F.percentile("price", list(Q.values())).alias("p"))
+    g = O.percentiles(t.candidates, ["status"], {"p": F.col("price")}, list(Q.values()))
     return g.select("status", *[r6(F.col("p")[i], 4).alias(k) for i, k in enumerate(Q)], r6(F.col("p")[2] - F.col("p")[0], 4).alias("iqr"))
 
 
@@ -72,8 +76,14 @@ def _(t):
     round(quantile_cont(price, 0.25) FILTER (valid), 4) AS q25, round(quantile_cont(price, 0.75) FILTER (valid), 4) AS q75 FROM candidates GROUP BY ROLLUP (murmur_phase, status)""")
 def _(t):
     v = F.when(F.col("valid"), F.col("price"))
-    g = t.candidates.rollup("murmur_phase", "status").agg(F.grouping_id().alias("g"), F.count("*").alias("attempted"), F.count_if("valid").alias("n_valid"), F.percentile(v, [0.25, 0.5, 0.75]).alias("p"))
-    return g.select(F.when(F.col("g") > 1, "all").otherwise(F.col("murmur_phase")).alias("phase"), F.when(F.col("g") > 0, "all").otherwise(F.col("status")).alias("status"), "attempted", "n_valid", r6(F.col("n_valid") / F.col("attempted")).alias("coverage"), r6(F.col("p")[1], 4).alias("med"), r6(F.col("p")[0], 4).alias("q25"), r6(F.col("p")[2], 4).alias("q75"))
+    c = t.candidates
+    counts = c.groupBy("murmur_phase", "status").agg(F.count("*").alias("attempted"), F.count_if("valid").alias("n_valid"))
+    levels = []
+    for by in ([], ["murmur_phase"], ["murmur_phase", "status"]):  # upper levels from the counts of the lowest
+        g = O.with_percentiles(counts.groupBy(*by).agg(F.sum("attempted").alias("attempted"), F.sum("n_valid").alias("n_valid")), c, by, {"p": v}, [0.25, 0.5, 0.75])
+        levels.append(g.select(*[F.col(k) if k in by else F.lit("all").alias(k) for k in ("murmur_phase", "status")], "attempted", "n_valid", "p"))
+    g = levels[0].unionByName(levels[1]).unionByName(levels[2])
+    return g.select(F.col("murmur_phase").alias("phase"), "status", "attempted", "n_valid", r6(F.col("n_valid") / F.col("attempted")).alias("coverage"), r6(F.col("p")[1], 4).alias("med"), r6(F.col("p")[0], 4).alias("q25"), r6(F.col("p")[2], 4).alias("q75"))
 
 
 @query("invalid_reason_counts", "SELECT murmur_phase, status, feature, 'zero' AS reason, count(*) AS n FROM (SELECT murmur_phase, status, unnest(['discount','tax']) AS feature, unnest([discount, tax]) AS v FROM candidates) WHERE v = 0 GROUP BY 1, 2, 3")
@@ -122,7 +132,7 @@ def variants(t):
     count(*) FILTER (NOT ok) AS lost, count(*) FILTER (clipped) AS n_clipped, round(median(change) FILTER (ok), 6) AS effective FROM v, iqr GROUP BY 1, 2""")
 def _(t):
     v = variants(t)
-    iqr = t.candidates.filter("cycle_index <= 2").agg((F.percentile("quantity", 0.75) - F.percentile("quantity", 0.25)).alias("iqr"))
+    iqr = O.percentiles(t.candidates.filter("cycle_index <= 2"), [], {"q": F.col("quantity")}, [0.25, 0.75]).select((F.col("q")[1] - F.col("q")[0]).alias("iqr"))
     primary = F.col("ok") & ~F.col("clipped")
     m = F.percentile(F.when(primary, F.col("change")), 0.5)
     g = v.groupBy(*KEY).agg(F.count("*").alias("families"), F.count_if(primary).alias("n_valid"), m.alias("m"), r6(F.max(F.when(primary, F.col("change")))).alias("top"), F.count_if(~F.col("ok")).alias("lost"), F.count_if("clipped").alias("n_clipped"), r6(F.percentile(F.when(F.col("ok"), F.col("change")), 0.5)).alias("effective"))
@@ -134,7 +144,8 @@ def _(t):
     status = 'accepted' AND (coalesce((CASE WHEN valid THEN price END <= mp)::int, 0) + (quantity >= mq)::int + (tax <= mt)::int + (discount <= md)::int) >= 3 AS high_quality FROM candidates JOIN m USING (murmur_phase)""")
 def _(t):
     c = t.candidates.withColumn("p", F.when(F.col("valid"), F.col("price")))
-    m = c.groupBy("murmur_phase").agg(*[F.percentile(x, 0.5).alias(y) for x, y in (("p", "mp"), ("quantity", "mq"), ("tax", "mt"), ("discount", "md"))])
+    names = {"mp": "p", "mq": "quantity", "mt": "tax", "md": "discount"}
+    m = O.percentiles(c, ["murmur_phase"], {k: F.col(x) for k, x in names.items()}, [0.5]).select("murmur_phase", *[F.col(k)[0].alias(k) for k in names])
     score = L.high_quality_score(F.col("p") <= F.col("mp"), F.col("quantity") >= F.col("mq"), F.col("tax") <= F.col("mt"), F.col("discount") <= F.col("md"))
     return c.join(F.broadcast(m), "murmur_phase").select(*KEY, score.cast("long").alias("score"), ((F.col("status") == "accepted") & (score >= 3)).alias("high_quality"))  # two phases
 
@@ -164,14 +175,15 @@ def _(t):
 @query("feature_stability_summary", f"""WITH v AS ({VAR}), b AS (SELECT murmur_phase, quantile_cont(quantity, 0.75) - quantile_cont(quantity, 0.25) AS iqr FROM candidates WHERE cycle_index <= 2 GROUP BY 1)
     SELECT murmur_phase, round(median(change), 6) AS med, round(any_value(iqr), 6) AS baseline_iqr, round(median(change) / any_value(iqr), 6) AS standardized FROM v JOIN b USING (murmur_phase) GROUP BY 1""")
 def _(t):
-    b = t.candidates.filter("cycle_index <= 2").groupBy("murmur_phase").agg((F.percentile("quantity", 0.75) - F.percentile("quantity", 0.25)).alias("iqr"))
-    g = variants(t).groupBy("murmur_phase").agg(F.percentile("change", 0.5).alias("m")).join(b, "murmur_phase")
-    return g.select("murmur_phase", r6("m").alias("med"), r6("iqr").alias("baseline_iqr"), r6(F.col("m") / F.col("iqr")).alias("standardized"))
+    b = O.percentiles(t.candidates.filter("cycle_index <= 2"), ["murmur_phase"], {"q": F.col("quantity")}, [0.25, 0.75]).select("murmur_phase", (F.col("q")[1] - F.col("q")[0]).alias("iqr"))
+    g = O.percentiles(variants(t), ["murmur_phase"], {"m": F.col("change")}, [0.5]).withColumn("m", F.col("m")[0])
+    return g.join(b, "murmur_phase").select("murmur_phase", r6("m").alias("med"), r6("iqr").alias("baseline_iqr"), r6(F.col("m") / F.col("iqr")).alias("standardized"))
 
 
 @query("perturbation_stability", f"SELECT k, count(DISTINCT (recording_id, cycle_index)) AS candidates_n, count(*) AS n_rows, round(median(change), 6) AS med, round(quantile_cont(change, 0.9), 6) AS q90, count(*) FILTER (clipped) AS n_clipped, round(max(change), 6) AS worst FROM ({VAR}) GROUP BY 1")
 def _(t):
-    g = variants(t).groupBy(F.col("k").cast("long").alias("k")).agg(F.count_distinct(*KEY).alias("candidates_n"), F.count("*").alias("n_rows"), F.percentile("change", [0.5, 0.9]).alias("p"), F.count_if("clipped").alias("n_clipped"), r6(F.max("change")).alias("worst"))
+    g = variants(t).groupBy(F.col("k").cast("long").alias("k")).agg(F.count_distinct(*KEY).alias("candidates_n"), F.count("*").alias("n_rows"), F.count_if("clipped").alias("n_clipped"), r6(F.max("change")).alias("worst"))
+    g = O.with_percentiles(g, variants(t).withColumn("k", F.col("k").cast("long")), ["k"], {"p": F.col("change")}, [0.5, 0.9])
     return g.select("k", "candidates_n", "n_rows", r6(F.col("p")[0]).alias("med"), r6(F.col("p")[1]).alias("q90"), "n_clipped", "worst")
 
 
@@ -184,7 +196,8 @@ def _(t):
 @query("tuning_summary", "SELECT location, round(avg(CASE WHEN murmur_label = 'Present' THEN price END), 4) AS present_mean, round(median(CASE WHEN murmur_label = 'Present' THEN price END), 4) AS present_median, round(avg(CASE WHEN murmur_label = 'Absent' THEN (status = 'fallback')::int::double END), 6) AS absent_fallback FROM candidates GROUP BY 1")
 def _(t):
     p = F.when(F.col("murmur_label") == "Present", F.col("price"))
-    return t.candidates.groupBy("location").agg(r6(F.avg(p), 4).alias("present_mean"), r6(F.percentile(p, 0.5), 4).alias("present_median"), r6(F.avg(F.when(F.col("murmur_label") == "Absent", (F.col("status") == "fallback").cast("double")))).alias("absent_fallback"))
+    g = t.candidates.groupBy("location").agg(r6(F.avg(p), 4).alias("present_mean"), r6(F.avg(F.when(F.col("murmur_label") == "Absent", (F.col("status") == "fallback").cast("double")))).alias("absent_fallback"))
+    return O.with_percentiles(g, t.candidates, ["location"], {"present_median": p}, [0.5]).withColumn("present_median", r6(F.col("present_median")[0], 4))
 
 
 @query("first_consistent", "SELECT patient_id, min(location) AS location, count(*) AS n FROM candidates GROUP BY 1 HAVING min(location) = max(location)")
@@ -195,14 +208,17 @@ def _(t):
 
 @query("summaries_by_label", "SELECT timing_label, count(*) AS n, round(median(price), 4) AS med, round(quantile_cont(price, 0.25), 4) AS q25, round(quantile_cont(price, 0.75), 4) AS q75 FROM candidates WHERE timing_label IS NOT NULL GROUP BY 1")
 def _(t):
-    g = t.candidates.filter("timing_label is not null").groupBy("timing_label").agg(F.count("*").alias("n"), F.percentile("price", [0.25, 0.5, 0.75]).alias("p"))
+    x = t.candidates.filter("timing_label is not null")
+    g = O.with_percentiles(x.groupBy("timing_label").agg(F.count("*").alias("n")), x, ["timing_label"], {"p": F.col("price")}, [0.25, 0.5, 0.75])
     return g.select("timing_label", "n", r6(F.col("p")[1], 4).alias("med"), r6(F.col("p")[0], 4).alias("q25"), r6(F.col("p")[2], 4).alias("q75"))
 
 
 @query("feature_status", "SELECT status, murmur_phase, count(*) AS n, count(*) FILTER (valid) AS n_valid, count(DISTINCT patient_id) FILTER (valid) AS n_patients, round(quantile_cont(discount, 0.75) FILTER (valid) - quantile_cont(discount, 0.25) FILTER (valid), 6) AS iqr FROM candidates GROUP BY 1, 2")
 def _(t):
     v = F.when(F.col("valid"), F.col("discount"))
-    return t.candidates.groupBy("status", "murmur_phase").agg(F.count("*").alias("n"), F.count_if("valid").alias("n_valid"), F.count_distinct(F.when(F.col("valid"), F.col("patient_id"))).alias("n_patients"), r6(F.percentile(v, 0.75) - F.percentile(v, 0.25)).alias("iqr"))
+    by = ["status", "murmur_phase"]
+    g = t.candidates.groupBy(*by).agg(F.count("*").alias("n"), F.count_if("valid").alias("n_valid"), F.count_distinct(F.when(F.col("valid"), F.col("patient_id"))).alias("n_patients"))
+    return O.with_percentiles(g, t.candidates, by, {"p": v}, [0.25, 0.75]).select(*by, "n", "n_valid", "n_patients", r6(F.col("p")[1] - F.col("p")[0]).alias("iqr"))
 
 
 @query("candidate_prepare", "SELECT recording_id, cycle_index, patient_id || ':' || recording_id || ':cycle' || cycle_index || ':' || murmur_phase AS candidate_id, greatest(discount, tax) AS max_leak, CASE WHEN valid THEN '' ELSE 'discount:silent_candidate' END AS summary FROM candidates")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from segmenta.operators import orderstats as O
 from segmenta.operators import relational as R
 from segmenta.plans.registry import query, r6
 
@@ -38,7 +39,7 @@ def _(t):
 @query("cluster_pair_selfjoin", """WITH m AS (SELECT DISTINCT location, feature, (rank() OVER (PARTITION BY location ORDER BY med)) // 2 AS cluster FROM (SELECT location, feature, median(value) AS med FROM features_long GROUP BY 1, 2))
     SELECT a.location, a.feature AS feature_a, b.feature AS feature_b, a.cluster = b.cluster AS same FROM m a JOIN m b ON a.location = b.location AND a.feature < b.feature""")
 def _(t):
-    med = t.features_long.groupBy("location", "feature").agg(F.percentile("value", 0.5).alias("med"))
+    med = O.percentiles(t.features_long, ["location", "feature"], {"med": F.col("value")}, [0.5]).withColumn("med", F.col("med")[0])
     m = med.select("location", "feature", F.expr("rank() over (partition by location order by med) div 2").alias("cluster"))
     return R.pairs_within(m, ["location"], "feature").select("location", "feature_a", "feature_b", (F.col("cluster_a") == F.col("cluster_b")).alias("same"))
 

@@ -1,9 +1,8 @@
 """Cohorts, folds, fold-safe features, models and metrics."""
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from segmenta.operators import selection as S
+from segmenta.operators import orderstats as O
 from segmenta.plans.registry import query, r6
 
 FOLD = "(row_number() OVER (PARTITION BY label ORDER BY md5('3|' || patient_id)) - 1) % 5"
@@ -12,8 +11,13 @@ FOLDED = f"(SELECT *, {FOLD} AS fold FROM cohort)"
 
 def folded(t):
     """Stratified folds: within each label, patients in the order of a keyed md5 are dealt to five folds."""
-    order = F.md5(F.concat_ws("|", F.lit("3"), F.col("patient_id").cast("string")).cast("binary"))
-    return t.cohort.withColumn("fold", ((F.row_number().over(W.partitionBy("label").orderBy(order)) - 1) % 5).cast("long"))
+    return dealt(t.cohort, "3").withColumn("fold", ((F.col("rn") - 1) % 5).cast("long")).drop("rn")
+
+
+def dealt(rows, seed: str):
+    """rows with rn, their number within the label in the order of a keyed md5."""
+    x = rows.withColumn("_md5", F.md5(F.concat_ws("|", F.lit(seed), F.col("patient_id").cast("string")).cast("binary")))
+    return O.numbered(x, ["label"], "_md5", "rn", F.conv(F.substring("_md5", 1, 12), 16, 10).cast("long")).drop("_md5")
 
 
 @query("eligible_labels", "SELECT patient_id, label FROM cohort WHERE label IN (0, 1)")
@@ -29,9 +33,9 @@ def _(t):
 
 @query("inner_validation", f"SELECT patient_id, label FROM (SELECT patient_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('5|' || patient_id)) AS rn, greatest(1, round_even(0.2::double * count(*) OVER (PARTITION BY label), 0)) AS k FROM {FOLDED} WHERE fold <> 0) WHERE rn <= k")
 def _(t):
-    w = W.partitionBy("label")
-    x = folded(t).filter("fold <> 0").withColumns({"rn": F.row_number().over(w.orderBy(F.md5(F.concat_ws("|", F.lit("5"), F.col("patient_id").cast("string")).cast("binary")))), "k": F.greatest(F.lit(1.0), F.rint(0.2 * F.count("*").over(w)))})
-    return x.filter("rn <= k").select("patient_id", "label")
+    f = folded(t).filter("fold <> 0")
+    most = f.groupBy("label").agg(F.greatest(F.lit(1.0), F.rint(0.2 * F.count("*"))).alias("k"))
+    return O.joined(dealt(f, "5"), most, ["label"]).filter("rn <= k").select("patient_id", "label")
 
 
 @query("fold_disjoint", f"SELECT patient_id FROM {FOLDED} WHERE fold = 0 INTERSECT SELECT patient_id FROM {FOLDED} WHERE fold <> 0")
@@ -53,7 +57,7 @@ def scaled(t, fit: str = "others"):
     """Median, mean and deviation from the other folds only; each row is exploded to the four folds it trains."""
     f = folded(t).select("patient_id", "label", "fold", F.when(F.col("n_lines") > 1, F.col("n_chars").cast("double")).alias("x"))
     train = f.select("x", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long")), lambda k: k != F.col("fold"))).alias("k"))
-    med = train.groupBy("k").agg(F.percentile("x", 0.5).alias("med"))
+    med = O.percentiles(train, ["k"], {"med": F.col("x")}, [0.5]).withColumn("med", F.col("med")[0])
     sd = train.join(F.broadcast(med), "k").withColumn("v", F.coalesce("x", "med")).groupBy("k").agg(F.first("med").alias("med"), F.avg("v").alias("mu"), F.stddev_pop("v").alias("sd"))  # five rows
     return f.join(F.broadcast(sd), F.col("fold") == F.col("k")).withColumn("z", (F.coalesce("x", "med") - F.col("mu")) / F.col("sd"))
 
@@ -111,7 +115,7 @@ def _(t):
 
 @query("auroc", f"SELECT round((sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0::double) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)), 6) AS auroc FROM (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::double AS r FROM {SCORED})")
 def _(t):
-    r = S.average_rank(scored(t).withColumn("one", F.lit(1)), ["one"], "score", "r")
+    r = O.average_ranks(scored(t), [], {"score": "r"})
     n1, n0 = F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)
     return r.agg(r6((F.sum(F.when(F.col("label") == 1, F.col("r"))) - n1 * (n1 + 1) / 2.0) / (n1 * n0)).alias("auroc"))
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from segmenta.functions import arrays as A
 from segmenta.functions import kernels as K
-from segmenta.operators.dsp import array_column, envelope_column, struct_column
+from segmenta.operators.dsp import array_column, described, envelope_column, struct_column
 from segmenta.plans.registry import query, r6
 
 
@@ -20,15 +20,15 @@ def _(t):
 
 
 def _ssa_sum(x: pd.Series) -> pd.Series:
-    return x.map(lambda a: K.ssa(a, 16)[1].sum(0))
+    return pd.Series([parts.sum(0) for _, parts in K.decomposed(x.tolist(), 16)])
 
 
 def _ssa_energy(x: pd.Series) -> pd.Series:
-    return x.map(lambda a: float((K.ssa(a, 16)[0] ** 2).sum()))
+    return pd.Series([float((s**2).sum()) for s, _ in K.decomposed(x.tolist(), 16)])
 
 
 def _ssa_active(x: pd.Series) -> pd.Series:
-    return x.map(lambda a: K.active_count(K.ssa(a, 16)[0]))
+    return pd.Series([K.active_count(s) for s, _ in K.decomposed(x.tolist(), 16)])
 
 
 @query("ssa_singular_energy", "SELECT vec_id, round(sum(v * v * least(n + 1, 16, 64 - n)), 5) AS energy FROM samples GROUP BY 1")
@@ -54,7 +54,7 @@ COMPONENT = "component int, active boolean, relative_energy double, zcr double,
 
 
 def _components(x: pd.Series) -> pd.Series:
-    return x.map(lambda a: K.component_table(a))
+    return pd.Series([K.component_table(a, found=d) for a, d in _decomposed(x)])
 
 
 def component_rows(t):
@@ -75,16 +75,21 @@ def _(t):
 SEPARATION = "normal array<double>, candidate array<double>, noise array<double>, status string, score double, method string"
 
 
+def _decomposed(x: pd.Series):
+    signals = x.tolist()
+    return zip(signals, K.decomposed(signals), strict=True)
+
+
 def _separated(x: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([K.separate(a) for a in x])
+    return pd.DataFrame([K.separate(a, found=d) for a, d in _decomposed(x)])
 
 
 def _best(x: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([{k: v for k, v in K.best_separation(a).items() if k in ("status", "score", "method")} for a in x])
+    return pd.DataFrame([{k: v for k, v in K.best_separation(a, d).items() if k in ("status", "score", "method")} for a, d in _decomposed(x)])
 
 
 def _genetic(x: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([{k: v for k, v in K.separate(a, "kurtosis").items() if k in ("status", "score")} for a in x])
+    return pd.DataFrame([{k: v for k, v in K.separate(a, "kurtosis", found=d).items() if k in ("status", "score")} for a, d in _decomposed(x)])
 
 
 @query("separation", "SELECT vec_id, n, round(v, 5) AS v FROM samples")
@@ -125,27 +130,27 @@ def _(t):
 
 @query("envelope_morphology")
 def _(t):
-    return t.segments.select("vec_id", struct_column("envelope_morphology", "shape string, time_to_peak double, symmetry double, burst_count int, active_ratio double")("signal").alias("m")).select("vec_id", "m.*")
+    return t.segments.select("vec_id", described("envelope_morphology")("signal").alias("m")).select("vec_id", "m.*")
 
 
 @query("psd_morphology")
 def _(t):
-    return t.segments.select("vec_id", struct_column("psd_morphology", "label string, peak_hz double, q double, peak_count int")("signal").alias("m")).select("vec_id", "m.*")
+    return t.segments.select("vec_id", described("psd_morphology")("signal").alias("m")).select("vec_id", "m.*")
 
 
 @query("activity_interval")
 def _(t):
-    return t.segments.select("vec_id", struct_column("activity_interval", "method string, onset int, offset int")("signal").alias("m")).select("vec_id", "m.*")
+    return t.segments.select("vec_id", described("activity_interval")("signal").alias("m")).select("vec_id", "m.*")
 
 
 @query("boundary_robustness")
 def _(t):
-    return t.segments.select("vec_id", struct_column("boundary_robustness", "label string, variants int, rms_range double")("signal").alias("m")).select("vec_id", "m.*")
+    return t.segments.select("vec_id", described("boundary_robustness")("signal").alias("m")).select("vec_id", "m.*")
 
 
 @query("wavelet_features")
 def _(t):
-    return t.segments.select("vec_id", struct_column("wavelet_features", "status string, centroid double, entropy double, peak_hz double")("signal").alias("m")).select("vec_id", "m.*")
+    return t.segments.select("vec_id", described("wavelet_features")("signal").alias("m")).select("vec_id", "m.*")
 
 
 @query("ridge")
@@ -182,8 +187,7 @@ def _(t):
 
 @query("observation_features")
 def _(t):
-    bands = ", ".join(f"band_{b} double" for b in (0, 100, 200, 400, 800, 1000))
-    return long_segments(t).select("label", "part", struct_column("observations", f"rms double, peak double, tf_entropy double, flux double, {bands}")("signal").alias("m")).select("label", "part", "m.*")
+    return long_segments(t).select("label", "part", described("observations")("signal").alias("m")).select("label", "part", "m.*")
 
 
 def _mel(x: pd.Series) -> pd.Series:

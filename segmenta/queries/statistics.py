@@ -4,8 +4,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from segmenta.operators import orderstats as O
 from segmenta.operators import relational as R
-from segmenta.operators import selection as S
 from segmenta.operators import stats as T
 from segmenta.plans.registry import query, r6
 
@@ -27,9 +27,7 @@ MATRIX = " UNION ALL ".join(f"SELECT murmur_phase, '{a}' AS feature_a, '{b}' AS
 
 def matrix(t):
     """Ranks of every feature once, then all correlations in one aggregation."""
-    x = t.candidates.select("murmur_phase", *FEATURES)
-    for f in FEATURES:
-        x = S.average_rank(x, ["murmur_phase"], f, f"r_{f}")
+    x = O.average_ranks(t.candidates.select("murmur_phase", *FEATURES), ["murmur_phase"], {f: f"r_{f}" for f in FEATURES})
     pairs = [(a, b) for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :]]
     g = x.groupBy("murmur_phase").agg(*[F.corr(f"r_{a}", f"r_{b}").alias(f"{a}|{b}") for a, b in pairs])
     return g.unpivot(["murmur_phase"], [f"{a}|{b}" for a, b in pairs], "pair", "rho").select("murmur_phase", F.split("pair", "[|]")[0].alias("feature_a"), F.split("pair", "[|]")[1].alias("feature_b"), "rho")
@@ -75,7 +73,10 @@ def _(t):
 @query("status_contrast", """SELECT murmur_phase, round(median(price) FILTER (status = 'accepted') - median(price) FILTER (status = 'fallback'), 4) AS difference, count(DISTINCT patient_id) FILTER (status = 'accepted') AS n_accepted, count(DISTINCT patient_id) FILTER (status = 'fallback') AS n_fallback FROM candidates WHERE status <> 'no_candidate' GROUP BY 1""")
 def _(t):
     a, b = F.col("status") == "accepted", F.col("status") == "fallback"
-    return t.candidates.filter(a | b).groupBy("murmur_phase").agg(r6(F.percentile(F.when(a, F.col("price")), 0.5) - F.percentile(F.when(b, F.col("price")), 0.5), 4).alias("difference"), F.count_distinct(F.when(a, F.col("patient_id"))).alias("n_accepted"), F.count_distinct(F.when(b, F.col("patient_id"))).alias("n_fallback"))
+    x = t.candidates.filter(a | b)
+    g = x.groupBy("murmur_phase").agg(F.count_distinct(F.when(a, F.col("patient_id"))).alias("n_accepted"), F.count_distinct(F.when(b, F.col("patient_id"))).alias("n_fallback"))
+    g = O.with_percentiles(g, x, ["murmur_phase"], {"a": F.when(a, F.col("price")), "b": F.when(b, F.col("price"))}, [0.5])
+    return g.select("murmur_phase", r6(F.col("a")[0] - F.col("b")[0], 4).alias("difference"), "n_accepted", "n_fallback")
 
 
 @query("mann_whitney_u", f"SELECT location, count(*) FILTER (valid) AS n1, count(*) FILTER (NOT valid) AS n2, round(sum(r) FILTER (valid) - count(*) FILTER (valid) * (count(*) FILTER (valid) + 1) / 2.0::double, 2) AS u FROM (SELECT location, valid, {rank_sql('location', 'quantity')} AS r FROM candidates) GROUP BY 1")
@@ -108,10 +109,10 @@ def _(t):
     UNION ALL SELECT 'accepted_only', 'trend', round(corr(a, b), 6) FROM (SELECT {rank_sql('1', 'lvl')} AS a, {rank_sql('1', 'price')} AS b FROM (SELECT *, {LEVEL} AS lvl FROM candidates WHERE valid AND status = 'accepted'))
     UNION ALL SELECT 'all_valid', 'difference', round(median(price) FILTER (location = 'BUILDING') - median(price) FILTER (location = 'MACHINERY'), 4) FROM candidates WHERE valid""")
 def _(t):
-    x = t.candidates.filter("valid").withColumns({"lvl": F.substring("timing_label", 1, 1).cast("int"), "one": F.lit(1)})
-    trend = lambda d, s: T.spearman(d, ["one"], "lvl", "price").select(F.lit(s).alias("stratum"), F.lit("trend").alias("contrast"), r6("rho").alias("estimate"))
-    m = lambda k: F.percentile(F.when(F.col("location") == k, F.col("price")), 0.5)
-    diff = x.agg(r6(m("BUILDING") - m("MACHINERY"), 4).alias("estimate")).select(F.lit("all_valid").alias("stratum"), F.lit("difference").alias("contrast"), "estimate")
+    x = t.candidates.filter("valid").withColumn("lvl", F.substring("timing_label", 1, 1).cast("int"))
+    trend = lambda d, s: T.spearman(d, [], "lvl", "price").select(F.lit(s).alias("stratum"), F.lit("trend").alias("contrast"), r6("rho").alias("estimate"))
+    m = O.percentiles(x, [], {k: F.when(F.col("location") == k, F.col("price")) for k in ("BUILDING", "MACHINERY")}, [0.5])
+    diff = m.select(r6(F.col("BUILDING")[0] - F.col("MACHINERY")[0], 4).alias("estimate")).select(F.lit("all_valid").alias("stratum"), F.lit("difference").alias("contrast"), "estimate")
     return trend(x, "all_valid").unionByName(trend(x.filter("status = 'accepted'"), "accepted_only")).unionByName(diff)
 
 
@@ -120,15 +121,14 @@ def _(t):
 def _(t):
     x = t.candidates.filter("location in ('BUILDING', 'MACHINERY') and tax > 0.06").withColumn("one", F.lit(1))
     left = F.col("location") == "BUILDING"
-    g = x.groupBy("one").agg(F.count_if(left).alias("n_left"), F.count_if(~left).alias("n_right"), r6(F.percentile(F.when(left, F.col("price")), 0.5) - F.percentile(F.when(~left, F.col("price")), 0.5), 4).alias("difference"))
-    return g.join(R.cliffs_delta(x, ["one"], left, "price"), "one").select("n_left", "n_right", "difference", r6("delta").alias("delta"))
+    g = x.groupBy("one").agg(F.count_if(left).alias("n_left"), F.count_if(~left).alias("n_right"))
+    g = O.with_percentiles(g, x, ["one"], {"a": F.when(left, F.col("price")), "b": F.when(~left, F.col("price"))}, [0.5])
+    return g.join(R.cliffs_delta(x, ["one"], left, "price"), "one").select("n_left", "n_right", r6(F.col("a")[0] - F.col("b")[0], 4).alias("difference"), r6("delta").alias("delta"))
 
 
 @query("qa_associations", " UNION ALL ".join(f"SELECT '{q}' AS qa, '{f}' AS feature, round(corr(a, b), 6) AS rho FROM (SELECT {rank_sql('1', q)} AS a, {rank_sql('1', f)} AS b FROM candidates)" for q in ("discount", "tax") for f in ("quantity", "price")))
 def _(t):
-    x = t.candidates.select(F.lit(1).alias("one"), *FEATURES)
-    for f in FEATURES:
-        x = S.average_rank(x, ["one"], f, f"r_{f}")
+    x = O.average_ranks(t.candidates.select(*FEATURES), [], {f: f"r_{f}" for f in FEATURES})
     pairs = [(q, f) for q in ("discount", "tax") for f in ("quantity", "price")]
     g = x.agg(*[F.corr(f"r_{q}", f"r_{f}").alias(f"{q}|{f}") for q, f in pairs])
     return g.unpivot([], [f"{q}|{f}" for q, f in pairs], "pair", "rho").select(F.split("pair", "[|]")[0].alias("qa"), F.split("pair", "[|]")[1].alias("feature"), r6("rho").alias("rho"))
@@ -186,6 +186,7 @@ def _(t):
     SELECT feature, decision, round(coverage, 6) AS coverage, round(iqr, 4) AS iqr, decision IN ('retain_core', 'retain_exploratory') AS eligible FROM reg JOIN cov USING (feature)""")
 def _(t):
     reg = t.spark.createDataFrame([("quantity", "retain_core"), ("price", "retain_exploratory"), ("discount", "drop_unstable"), ("tax", "drop_redundant")], "feature string, decision string")
-    cov = t.features_long.filter("murmur_phase = 'systole'").groupBy("feature").agg((F.count_if(F.col("value") > 0) / F.count("*")).alias("coverage"), F.percentile("value", [0.25, 0.75]).alias("p"))
+    x = t.features_long.filter("murmur_phase = 'systole'")
+    cov = O.with_percentiles(x.groupBy("feature").agg((F.count_if(F.col("value") > 0) / F.count("*")).alias("coverage")), x, ["feature"], {"p": F.col("value")}, [0.25, 0.75])
     return cov.join(F.broadcast(reg), "feature").select("feature", "decision", r6("coverage").alias("coverage"), r6(F.col("p")[1] - F.col("p")[0], 4).alias("iqr"), F.col("decision").isin("retain_core", "retain_exploratory").alias("eligible"))
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from segmenta.operators import orderstats as O
 from segmenta.operators import relational as R
 from segmenta.operators import selection as S
 from segmenta.plans.registry import query, r6
@@ -73,7 +74,8 @@ def _(t):
     SELECT quartile, murmur_phase, count(*) AS n, round(median(price), 4) AS med FROM (SELECT murmur_phase, price, CASE WHEN quantity <= q[2] THEN 'Q1' WHEN quantity <= q[3] THEN 'Q2' WHEN quantity <= q[4] THEN 'Q3' ELSE 'Q4' END AS quartile FROM candidates JOIN e USING (murmur_phase)) GROUP BY 1, 2""")
 def _(t):
     x = S.quartile_labels(t.candidates.select("murmur_phase", "quantity", "price"), ["murmur_phase"], "quantity", "quartile")
-    return x.groupBy("quartile", "murmur_phase").agg(F.count("*").alias("n"), r6(F.percentile("price", 0.5), 4).alias("med"))
+    by = ["quartile", "murmur_phase"]
+    return O.with_percentiles(x.groupBy(*by).agg(F.count("*").alias("n")), x, by, {"med": F.col("price")}, [0.5]).withColumn("med", r6(F.col("med")[0], 4))
 
 
 @query("cycle_index", "SELECT user_id, n, row_number() OVER (PARTITION BY user_id ORDER BY n) AS cycle_index FROM recordings WHERE n % 4 = 1")
