@@ -4,9 +4,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from segmenta.functions import arrays as A
+from segmenta.functions import guards, rich, synthesis
 from segmenta.functions import kernels as K
 from segmenta.operators.dsp import array_column, described, envelope_column, struct_column
-from segmenta.plans.registry import query, r6
+from segmenta.plans.registry import PHASES, query, r6
 
 
 def _udf(kind):
@@ -191,12 +192,36 @@ def _(t):
 
 
 def _mel(x: pd.Series) -> pd.Series:
-    return x.map(lambda a: [r.tolist() for r in K.image(a)])
+    return x.map(lambda a: rich.image(a).astype("float32").tolist())
 
 
 @query("mel_spectrogram")
 def _(t):
-    return long_segments(t).select("label", "part", _udf("array<array<double>>")(_mel)("signal").alias("image"))
+    """Three channels of 224 x 224 for each part, as image models take them."""
+    return long_segments(t).select("label", "part", _udf("array<array<array<float>>>")(_mel)("signal").alias("image"))
+
+
+def _rich(x: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([rich.features(a) for a in x], columns=rich.NAMES)
+
+
+@query("rich_features")
+def _(t):
+    f = _udf(", ".join(f"{k} double" for k in rich.NAMES))(_rich)
+    return long_segments(t).select("label", "part", f("signal").alias("m")).select("label", "part", *[F.nanvl(F.col("m")[k], F.lit(None)).alias(k) for k in rich.NAMES])
+
+
+@query("phase_mask_check", """SELECT vec_id, CASE vec_id % 5 WHEN 1 THEN 's2:empty' WHEN 2 THEN 'overlap' WHEN 3 THEN 'systole:wrong_length' WHEN 4 THEN 'diastole:missing' END AS fault FROM embeddings""")
+def _(t):
+    """The fault of each vector's phase masks; of every five one is whole and four have one fault each."""
+    k, n = F.col("vec_id") % 5, F.size("signal")
+    mask = lambda lo, hi: F.transform(F.sequence(F.lit(0), n - 1), lambda i: (i.between(lo, hi - 1)).cast("int"))
+    m = {p: mask(*b) for p, b in PHASES.items()}
+    m["s2"] = F.when(k == 1, mask(0, 0)).otherwise(m["s2"])
+    m["s1"] = F.when(k == 2, mask(0, PHASES["s1"][1] + 1)).otherwise(m["s1"])
+    m["systole"] = F.when(k == 3, F.slice(m["systole"], 1, 20)).otherwise(m["systole"])
+    m["diastole"] = F.when(k != 4, m["diastole"])
+    return t.segments.select("vec_id", guards.mask_fault_column(n, **m).alias("fault"))
 
 
 @query("mfcc")
@@ -205,27 +230,29 @@ def _(t):
 
 
 def _mixture(seed: pd.Series, shape: pd.Series) -> pd.DataFrame:
-    rows = [K.synthetic(int(a), b) for a, b in zip(seed, shape, strict=True)]
-    return pd.DataFrame([{k: v.tolist() for k, v in r.items()} for r in rows])
+    rows = [synthesis.mixture(int(a), b) for a, b in zip(seed, shape, strict=True)]
+    return pd.DataFrame([{k: r[k].tolist() for k in ("normal", "candidate", "noise", "mixture")} for r in rows])
 
 
 def _evaluated(seed: pd.Series, shape: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([K.synthetic_evaluation(a, b) for a, b in zip(seed, shape, strict=True)])
+    rows = [synthesis.evaluation(a, b) for a, b in zip(seed, shape, strict=True)]
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in synthesis.KIND.split(", ")])
 
 
-def synthetic_grid(t):
-    shapes = F.array(*[F.lit(s) for s in ("plateau", "crescendo", "decrescendo", "diamond", "absent")])
-    return t.spark.range(4).select(F.col("id").alias("seed"), F.explode(shapes).alias("shape"))
+def synthetic_grid(t, shapes):
+    return t.spark.range(4).select(F.col("id").alias("seed"), F.explode(F.array(*[F.lit(s) for s in shapes])).alias("shape"))
 
 
 @query("synthetic_mixture", "SELECT seed::bigint AS seed, shape, 0.0::double AS residual FROM (SELECT unnest(range(0, 4)) AS seed), (SELECT unnest(['plateau','crescendo','decrescendo','diamond','absent']) AS shape)")
 def _(t):
     """The stems of each mixture sum to it."""
-    m = synthetic_grid(t).withColumn("m", _udf("normal array<double>, candidate array<double>, noise array<double>, mixture array<double>")(_mixture)("seed", "shape"))
+    grid = synthetic_grid(t, ("plateau", "crescendo", "decrescendo", "diamond", "absent"))
+    named = F.when(F.col("shape") == "diamond", "crescendo_decrescendo").otherwise(F.col("shape"))
+    m = grid.withColumn("m", _udf("normal array<double>, candidate array<double>, noise array<double>, mixture array<double>")(_mixture)("seed", named))
     stems = F.zip_with(F.zip_with("m.normal", "m.candidate", lambda a, b: a + b), "m.noise", lambda a, b: a + b)
     return m.select("seed", "shape", (r6(A.energy(F.zip_with(stems, "m.mixture", lambda a, b: a - b))) + 0.0).alias("residual"))
 
 
 @query("synthetic_evaluation")
 def _(t):
-    return synthetic_grid(t).withColumn("m", _udf("status string, si_sdr double, candidate_share double")(_evaluated)("seed", "shape")).select("seed", "shape", "m.*")
+    return synthetic_grid(t, synthesis.SHAPES).withColumn("m", _udf(synthesis.KIND)(_evaluated)("seed", "shape")).select("seed", "shape", "m.*")

@@ -3,8 +3,11 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
+from segmenta.functions import arrays as A
+from segmenta.functions.guards import SeparationConfig
 from segmenta.plans.registry import query
 from segmenta.sources import recordings as R
+from segmenta.sources.reports import write_packages, write_report
 from segmenta.streaming.batches import run_available
 
 
@@ -98,6 +101,27 @@ def _(t):
     return t.spark.read.schema("vec_id long, energy double").parquet(f"{base}/out")
 
 
+@query("report_manifest", """SELECT artifact, format, CASE WHEN artifact LIKE 'energy%' THEN (SELECT count(*) FROM embeddings) ELSE (SELECT count(DISTINCT label) FROM embeddings) END AS n_rows
+    FROM (VALUES ('energy.csv', 'csv'), ('energy.json', 'json'), ('labels.csv', 'csv'), ('labels.json', 'json')) AS m(artifact, format)""")
+def _(t):
+    """Two tables as CSV and JSON with their manifest, under a new path."""
+    energy = t.segments.select("vec_id", A.energy(F.col("signal")).alias("energy"))
+    counts = t.segments.groupBy("label").agg(F.count("*").alias("n"))
+    m = write_report({"energy": energy, "labels": counts}, R.scratch(t.spark, "report"), SeparationConfig().to_dict(), t.sf_dir)
+    return m.select("artifact", "format", F.col("rows").alias("n_rows"))
+
+
+@query("track_packages", "SELECT vec_id, track FROM embeddings, (SELECT unnest(['signal', 'envelope']) AS track)")
+def _(t):
+    """A WAV file for each vector and track; the rows whose files are there with the hash of the manifest."""
+    path = R.scratch(t.spark, "tracks")
+    manifest = write_packages(t.segments.select("vec_id", "signal", F.transform("signal", F.abs).alias("envelope")), path, ["signal", "envelope"])
+    at = R.scratch(t.spark, "tracks-manifest")
+    manifest.write.parquet(at)
+    there = R.artifact_hashes(t.spark, path).select(F.col("artifact").alias("file"), F.col("sha256").alias("found"))
+    return t.spark.read.parquet(at).join(there, "file").filter("sha256 = found").select("vec_id", "track")
+
+
 @query("segment_package", "SELECT vec_id, 64::bigint AS n FROM embeddings")
 def _(t):
     """Packages as partitioned rows with arrays as floats; written and read back."""
