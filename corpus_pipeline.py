@@ -1,4 +1,8 @@
-"""The corpus pipeline: quality rules, near-duplicate removal, passage dedup and packing, one stage after the other."""
+"""The corpus pipeline: quality rules, near-duplicate removal, passage dedup and packing, one stage after the other.
+
+Every stage takes null texts (as empty ones), null ids, repeated rows, empty tables and extra columns of any name; all but the last
+return the columns they were given, in their order.
+"""
 
 from __future__ import annotations
 
@@ -12,26 +16,29 @@ from segmenta.llm.store import new_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base or the learned list rejects go."""
+    """Documents that the base or the learned list rejects go, so those of fewer than ten words do; others stay as they are, repeated
+    rows and null ids included. Without labels the base decides alone."""
     return quality_rules.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays."""
+    """One document of each class stays, the one of the smallest id; of repeated rows one does."""
     return near_dedup.deduplicated(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has are cut out; no document goes."""
+    """Passages that a smaller document has are cut out, and n_chars is counted again; no document goes, even if nothing of it is
+    left. Rows with null ids, and other texts of an id, are left alone."""
     return passage_dedup.without_repeats(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, empty ones too, as pieces of at most 2048 tokens with their places in sequences."""
     return packing.pack(docs, WORD_BPE)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality rules", quality), ("near-duplicates", near_duplicates), ("substring dedup", passages), ("packing", packed)]
-#: Learned rules, weighted samples and tokens have no SQL; the operators are tested one by one, the run as a whole is not yet.
+#: Learned rules, weighted samples and tokens have no SQL; tests/llm/test_pipeline.py holds every stage against a plain version.
 ORACLE_SQL: str | None = None
 
 
