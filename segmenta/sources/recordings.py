@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import math
 import re
 import struct
 import tempfile
@@ -51,12 +52,67 @@ def decode_wav(content: bytes) -> dict:
     return {"sample_rate": rate, "channels": ch, "n_frames": n, "signal": x.reshape(-1, ch).mean(1).tolist() if ch else [], "error": None if n else "empty"}
 
 
-def _decoded(content: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([decode_wav(bytes(c)) for c in content])
+def resampled(x, rate: int, target: int) -> np.ndarray:
+    """Samples at another rate, by a windowed-sinc filter between the two; the length is rounded up."""
+    x = np.asarray(x, np.float64)
+    common = math.gcd(rate, target)
+    up, down = target // common, rate // common
+    if up == down or not len(x):
+        return x
+    half = 10 * max(up, down)
+    t = np.arange(-half, half + 1)
+    h = np.sinc(t / max(up, down)) * np.kaiser(2 * half + 1, 5.0)
+    h *= up / h.sum()
+    n = -(-len(x) * up // down)
+    # Each output sample meets every up-th tap of the filter.
+    at = np.arange(n) * down + half
+    first = at // up
+    taps = (2 * half) // up + 1
+    place = first[:, None] - np.arange(taps)
+    tap = at[:, None] - place * up
+    ok = (place >= 0) & (place < len(x)) & (tap >= 0) & (tap < len(h))
+    return (np.where(ok, x[np.clip(place, 0, len(x) - 1)], 0.0) * np.where(ok, h[np.clip(tap, 0, len(h) - 1)], 0.0)).sum(1)
+
+
+def inspect_wav(head: bytes, size: int) -> dict:
+    """What a WAV file's header says, by its first bytes and its length; samples aren't looked at."""
+    none = {"sample_rate": None, "channels": None, "n_frames": None}
+    if head[:4] != b"RIFF" or head[8:12] != b"WAVE":
+        return none | {"error": "not_wav"}
+    at, form = 12, None
+    while at + 8 <= len(head):
+        name, n = head[at : at + 4], int.from_bytes(head[at + 4 : at + 8], "little")
+        if name == b"fmt " and at + 24 <= len(head):
+            form = struct.unpack("<HHIIHH", head[at + 8 : at + 24])
+        if name == b"data":
+            if form is None or not form[4]:
+                return none | {"error": "no_format"}
+            frames = n // form[4]
+            return {"sample_rate": form[2], "channels": form[1], "n_frames": frames, "error": "empty" if not frames else "truncated" if at + 8 + n > size else None}
+        at += 8 + n + n % 2
+    return none | {"error": "no_data"}
+
+
+def inspected(content, length=None):
+    """The header's columns of WAV contents; only the first 64 KiB go to Python."""
+
+    def run(head: pd.Series, size: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([inspect_wav(bytes(h), int(n)) for h, n in zip(head, size, strict=True)], columns=["sample_rate", "channels", "n_frames", "error"]).astype({"sample_rate": "Int32", "channels": "Int32", "n_frames": "Int64"})
+
+    c = F.col(content)
+    return F.pandas_udf(run, "sample_rate int, channels int, n_frames long, error string")(F.substring(c, 1, 1 << 16), F.length(c) if length is None else F.col(length))
+
+
+def read_wav(spark: SparkSession, path: str, rate: int | None = None) -> DataFrame:
+    """recording_id, sample_rate, channels, n_frames, signal, error of every WAV file below a path; at another rate if one is given."""
+
+    def _decoded(content: pd.Series) -> pd.DataFrame:
+        rows = [decode_wav(bytes(c)) for c in content]
+        for r in rows:
+            if rate and r["signal"] and r["sample_rate"] != rate:
+                r["signal"], r["sample_rate"] = resampled(r["signal"], r["sample_rate"], rate).tolist(), rate
+        return pd.DataFrame(rows)
 
-
-def read_wav(spark: SparkSession, path: str) -> DataFrame:
-    """recording_id, sample_rate, channels, n_frames, signal, error of every WAV file below a path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(path)
     decoded = F.pandas_udf(_decoded, "sample_rate int, channels int, n_frames long, signal array<double>, error string")
     return files.select(F.regexp_extract("path", _STEM, 1).alias("recording_id"), decoded("content").alias("w")).select("recording_id", "w.*")
