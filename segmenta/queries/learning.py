@@ -1,5 +1,7 @@
 """Cohorts, folds, fold-safe features, models and metrics."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from segmenta.operators import orderstats as O
@@ -120,14 +122,32 @@ def _(t):
     return r.agg(r6((F.sum(F.when(F.col("label") == 1, F.col("r"))) - n1 * (n1 + 1) / 2.0) / (n1 * n0)).alias("auroc"))
 
 
+METRICS = ("balanced_accuracy", "macro_f1", "sensitivity", "specificity")
+
+
+def _drawn(n1: pd.Series, tp: pd.Series, n0: pd.Series, tn: pd.Series, rep: pd.Series) -> pd.DataFrame:
+    """Metrics of one replicate each; rep -1 is the sample itself."""
+    out = []
+    for a, h, b, k, r in zip(n1, tp, n0, tn, rep, strict=True):
+        rng = np.random.default_rng([20260827, max(0, int(r))])
+        x, y = (h, k) if r < 0 else (rng.binomial(a, h / a if a else 0.0), rng.binomial(b, k / b if b else 0.0))
+        se, sp = x / a if a else np.nan, y / b if b else np.nan
+        f1 = (2 * x / max(1, a + x + b - y) + 2 * y / max(1, b + y + a - x)) / 2
+        out.append(((se + sp) / 2, f1, se, sp))
+    return pd.DataFrame(out, columns=list(METRICS))
+
+
 @query("metric_bootstrap")
 def _(t):
-    """Poisson-weighted replicates of sensitivity and specificity, stratified by label; weights come from row hashes."""
-    x = scored(t).select("patient_id", "label", (F.col("score") >= 0.5).alias("hit"), F.explode(F.sequence(F.lit(0), F.lit(99))).alias("rep"))
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("9"), "rep", "patient_id").cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
-    w = F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).otherwise(4)
-    g = x.withColumn("w", w).groupBy("rep").agg(F.try_divide(F.sum(F.when((F.col("label") == 1) & F.col("hit"), F.col("w"))), F.sum(F.when(F.col("label") == 1, F.col("w")))).alias("se"), F.try_divide(F.sum(F.when((F.col("label") == 0) & ~F.col("hit"), F.col("w"))), F.sum(F.when(F.col("label") == 0, F.col("w")))).alias("sp"))
-    return g.agg(F.percentile("se", [0.025, 0.975]).alias("sensitivity"), F.percentile("sp", [0.025, 0.975]).alias("specificity"))
+    """Intervals of 2000 bootstraps stratified by label. How many of n patients drawn with replacement are hits is binomial, so a
+    replicate is drawn from the four counts, whatever their size, and no row is."""
+    pos, hit = F.col("label") == 1, F.col("score") >= 0.5
+    c = scored(t).agg(F.count_if(pos).alias("n1"), F.count_if(pos & hit).alias("tp"), F.count_if(~pos).alias("n0"), F.count_if(~pos & ~hit).alias("tn"))
+    reps = c.withColumn("rep", F.explode(F.sequence(F.lit(-1), F.lit(1999))))
+    drawn = F.pandas_udf(_drawn, ", ".join(f"{m} double" for m in METRICS))("n1", "tp", "n0", "tn", "rep")
+    x = reps.select("rep", drawn.alias("m")).select("rep", "m.*").unpivot(["rep"], list(METRICS), "metric", "value")
+    g = x.groupBy("metric").agg(r6(F.max(F.when(F.col("rep") < 0, F.col("value")))).alias("estimate"), F.percentile(F.when(F.col("rep") >= 0, F.col("value")), [0.025, 0.975]).alias("p"), F.count_if(F.col("rep") >= 0).alias("replicates"))  # 2000 values each
+    return g.select("metric", "estimate", r6(F.col("p")[0]).alias("low"), r6(F.col("p")[1]).alias("high"), "replicates")
 
 
 @query("class_weights", "SELECT label, round(2 * (1.0::double / n) / sum(1.0::double / n) OVER (), 6) AS weight FROM (SELECT label, count(*) AS n FROM cohort GROUP BY 1)")
