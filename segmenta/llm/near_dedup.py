@@ -9,7 +9,7 @@
    sample. Two texts draw the same sample with the probability of their weighted Jaccard similarity.
 3. Texts that agree on all ``ROWS`` samples of a band are candidates. In a bucket every text is compared with four pivots,
    not with all. Buckets that then still hold several components stay open, and go through rounds: each text names the ``NEAREST``
-   nearest of other components in its bucket whose bitmaps allow the similarity (eight times as many in each further round), those
+   nearest of other components in its bucket whose bitmaps allow the similarity (16 times as many in each further round), those
    pairs are verified, components contract, until no text has an allowed partner that it didn't name. Bits that differ are
    elements that differ, so the bound loses no pair; bitmaps grow with their texts, so it is sharp at any length. What a bucket's
    texts have in common with their own component is never compared. Buckets of more than ``BLOCK`` texts are dealt to tasks
@@ -261,10 +261,11 @@ def nearest(i: np.ndarray, j: np.ndarray, distance: np.ndarray, limit: int) -> n
     return np.unique(at[order[nth < limit]])
 
 
-def _candidates(members: DataFrame, sketches: DataFrame, nodes: DataFrame | None, limit: int | None) -> DataFrame:
+def _candidates(members: DataFrame, sketches: DataFrame, nodes: DataFrame | None, limit: int | None, before: int = 0) -> DataFrame:
     """Pairs (a, b) of members (key, digest, comp) that share a key, differ in comp and may be similar by bitmap; each text's
     ``limit`` nearest of a block, and a row of nulls where a block has more. nodes: the bands of each digest; with them a pair
-    comes from its first common bucket alone."""
+    comes from its first common bucket alone. before: the limit of the round before, whose components members have as ``was``;
+    what it gave isn't given again (components only grow, so that holds for all rounds before)."""
 
     banded = nodes is not None
 
@@ -272,18 +273,23 @@ def _candidates(members: DataFrame, sketches: DataFrame, nodes: DataFrame | None
         held: list[pa.RecordBatch] = []
 
         def pairs(table: pa.Table) -> pa.RecordBatch:
-            digests, comps = table.column("digest").to_pylist(), table.column("comp").to_numpy()
+            digests, comps, was = table.column("digest").to_pylist(), table.column("comp").to_numpy(), table.column("was").to_numpy()
             lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-            i, j, distance = allowed(table.column("bitmap").to_pylist(), table.column("rare").to_pylist(), table.column("total").to_numpy(), table.column("elements").to_numpy(), comps, None if lo == hi else table.column("block").to_numpy())
+            i, j, distance = allowed(table.column("bitmap").to_pylist(), table.column("rare").to_pylist(), table.column("total").to_numpy(), table.column("elements").to_numpy(), was, None if lo == hi else table.column("block").to_numpy())
             if banded and len(i):
                 bands, key = np.stack(table.column("bands").to_pylist()), table.column("key")[0].as_py()
                 same = bands[i] == bands[j]
                 here = bands[i, same.argmax(1)] == key
                 i, j, distance = i[here], j[here], distance[here]
-            more = False
+            more, given = False, np.zeros(len(i), bool)
+            if before and len(i):
+                given[nearest(i, j, distance, before)] = True
+            apart = comps[i] != comps[j]
+            i, j, distance, given = (x[apart] for x in (i, j, distance, given))
             if limit is not None and len(i):
                 some = nearest(i, j, distance, limit)
                 more = len(some) < len(i)
+                some = some[~given[some]]
                 i, j = i[some], j[some]
             out = [sorted((digests[x], digests[y]), reverse=True) for x, y in zip(i.tolist(), j.tolist(), strict=True)] + [(None, None)] * more
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string())], ["a", "b"])
@@ -309,7 +315,7 @@ def _candidates(members: DataFrame, sketches: DataFrame, nodes: DataFrame | None
     if banded:
         rows = rows.join(nodes.select("digest", "bands"), "digest")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "digest", F.xxhash64("comp").alias("comp"), "bitmap", "rare", "total", "elements", *["bands"] * banded)
+    rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "digest", F.xxhash64("comp").alias("comp"), F.xxhash64("was" if before else "comp").alias("was"), "bitmap", "rare", "total", "elements", *["bands"] * banded)
     return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(meet, "a string, b string")
 
 
@@ -341,8 +347,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
     texts = stored(picked(by_digest, members.select("digest").distinct(), "digest").groupBy("digest").agg(F.first("text").alias("text")), "texts")
     links = stored(_verified(pairs, texts, weights), "links")
     roots = components(links)
-    # Rounds: the state is the roots so far and the pairs verified already.
-    known, limit, spent, sketches = [pairs], NEAREST, [buckets, pairs, texts, links], None
+    # Rounds: the state is the components now and in the round before.
+    limit, before, was, spent, sketches = NEAREST, 0, None, [buckets, pairs, texts, links], None
     while True:
         rooted = _rooted(members, roots)
         if sketches is None:
@@ -351,24 +357,22 @@ def near_classes(docs: DataFrame) -> DataFrame:
             sketches = stored(_sketched(picked(texts, members.select("digest").distinct(), "digest"), weights), "sketches")
             rooted = _rooted(members, roots)
             spent += [members, sketches]
-        found = stored(_candidates(rooted, sketches, nodes, limit), "candidates")
-        fresh = found.filter("a is not null").distinct()
-        for old in known:
-            fresh = fresh.join(old, ["a", "b"], "left_anti")
-        fresh = stored(fresh, "more-pairs")
+        if was is not None:
+            rooted = _rooted(rooted.withColumnRenamed("comp", "now"), was).withColumnsRenamed({"comp": "was", "now": "comp"})
+        found = stored(_candidates(rooted, sketches, nodes, limit, before), "candidates")
+        fresh = stored(found.filter("a is not null").join(pairs, ["a", "b"], "left_anti"), "more-pairs")
         links = stored(_verified(fresh, texts, weights), "more-links")
-        spent += [found, fresh, links]
-        known.append(fresh)
+        spent += [found, fresh, links, roots]
+        was = roots
         if links.limit(1).count():
-            spent.append(roots)
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
         if not found.filter("a is null").limit(1).count():
             break
-        limit *= 8
+        limit, before = limit * 16, limit
     firsts = stored(_rooted(nodes.select("digest", "first"), roots), "firsts")
     least = stored(firsts.groupBy("comp").agg(F.min("first").alias("least")), "classes")
     of = stored(firsts.select("digest", "comp").join(least, "comp").select("digest", F.col("least.doc_id").alias("class_id"), F.col("least.digest").alias("class_digest"), F.col("least.row").alias("kept")), "class-of-text")
-    drop(nodes, roots, firsts, least, *spent)
+    drop(nodes, firsts, least, roots, *spent)
     return marked.select("doc_id", "digest", "row").join(of, "digest").select("doc_id", "digest", "class_id", "class_digest", (F.col("row") == F.col("kept")).alias("keeper"))
 
 
