@@ -38,7 +38,7 @@ def _(t):
 def _(t):
     path = R.scratch(t.spark, "annotations")
     rows = t.recordings.select(F.col("user_id").cast("string").alias("u"), F.format_string("%.6f", "value").alias("a"), F.format_string("%.6f", F.col("value") + 1).alias("b"), (1 + F.col("n") % 4).cast("string").alias("s"))
-    rows.select("u", F.concat_ws("\t", "a", "b", "s").alias("value")).write.partitionBy("u").option("compression", "none").text(path)
+    rows.select("u", F.concat_ws("\t", "a", "b", "s").alias("value")).repartition("u").write.partitionBy("u").option("compression", "none").text(path)
     back = t.spark.read.schema("start double, end double, state int, u long").option("sep", "\t").csv(path)
     return back.groupBy(F.col("u").alias("user_id")).agg(F.count("*").alias("n"), F.round(F.sum("start"), 3).alias("total"))
 
