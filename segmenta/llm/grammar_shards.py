@@ -1,13 +1,13 @@
 """Token-ID output: shards of ids compressed by a Re-Pair grammar, with random access by id range.
 
-A shard is one immutable file. Rounds count all neighbouring pairs of the whole shard and replace the frequent ones by new
-nonterminals, each round up to ``PER_ROUND`` pairs at once (where two chosen pairs overlap, the left one wins), until no
-pair is frequent any more or a round gains too little. Rules, the expansion length of each nonterminal, and the number of
+A shard is one immutable file. Its pairs of neighbours are counted once; rounds replace all frequent pairs by new
+nonterminals (of two that overlap, the more frequent) and count again only beside what was replaced, until no pair is met
+``LEAST`` times. Rules, the expansion length of each nonterminal, and the number of
 ids before each block of symbols are stored, so that ``Shard.ids(a, b)`` expands only the blocks it needs.
 
 Contract: documents in ascending doc_id order (null ids first; rows with the same id by text), a null text is empty, every
-document ends with the end id, repeated rows are written as often as they come, columns other than ``doc_id`` and ``text``
-are ignored, an empty table gives no shards.
+document ends with the end id, repeated rows are written as often as they come, columns other than ``doc_id`` and ``text``,
+whatever their names, are ignored, an empty table gives no shards.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from segmenta.llm.text import slices
 
 MAGIC = b"RPSHARD1"
 SHARD_IDS = 1 << 20
-PER_ROUND, ROUNDS, LEAST = 1 << 15, 4, 8
+LEAST = 8
 BLOCK = 1 << 14
 _TABLE_BITS = 20
 
@@ -41,69 +41,126 @@ def _spread(pairs: np.ndarray) -> np.ndarray:
     return ((pairs ^ (pairs >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _TABLE_BITS)
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, int]:
-    """(symbols, rules [n, 2], base): symbol ``base + k`` stands for the two symbols of rule k."""
-    s = ids.astype(np.uint32)
-    base = int(s.max()) + 1 if len(s) else 0
+def _frequent(pairs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which pairs are met at least so often, the number of each, and the numbers' pairs, most frequent first."""
+    if len(pairs) >> _TABLE_BITS - 3:
+        slot = _spread(pairs).view(np.int64)
+        some = np.flatnonzero((np.bincount(slot, minlength=1 << _TABLE_BITS) >= least)[slot])  # pairs whose slot is rare are rare
+        order = some[np.argsort(pairs[some])]
+    else:
+        order = np.argsort(pairs)
+    ordered = pairs[order]
+    edges = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(order) else np.zeros(0, np.int64)
+    n = np.diff(np.append(edges, len(order)))
+    by_count = np.lexsort((ordered[edges], -n))
+    by_count = by_count[: int((n >= least).sum())]
+    rank = np.full(len(edges), -1, np.int32)
+    rank[by_count] = np.arange(len(by_count))
+    number = np.full(len(pairs), -1, np.int32)
+    number[order] = np.repeat(rank, n)
+    met = np.flatnonzero(number >= 0)
+    return met, number[met], ordered[edges[by_count]]
+
+
+def _apart(at: np.ndarray, number: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Places whose pairs don't overlap, as many as there are: of those that do, the more frequent goes first, of one pair every
+    other place."""
+    near = np.append(after[at[:-1]] == at[1:], False)  # overlaps the next
+    same = np.append(False, near[:-1] & (number[1:] == number[:-1]))
+    i = np.arange(len(at))
+    free = (i - np.maximum.accumulate(np.where(same, 0, i))) % 2 == 0 if same.any() else np.ones(len(at), bool)
+    out, left = [], np.flatnonzero(free)
+    while len(left):
+        beside = near[left[:-1]] & (left[1:] == left[:-1] + 1)
+        wins = np.ones(len(left), bool)
+        wins[1:] &= ~(beside & (number[left[:-1]] < number[left[1:]]))
+        wins[:-1] &= ~(beside & (number[left[1:]] < number[left[:-1]]))
+        won = left[wins]
+        out.append(won)
+        free[won] = False
+        free[won[near[won]] + 1] = False
+        before = won[won > 0] - 1
+        free[before[near[before]]] = False
+        left = left[free[left]]
+    return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
+
+
+def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, int]:
+    """(symbols, rules [n, 2], base): symbol ``base + k`` stands for the two symbols of rule k.
+
+    All pairs are counted once. A round replaces the frequent pairs, the more frequent first where two overlap; after it only
+    places beside a new symbol, and those of a frequent pair that lost to another, can hold a frequent pair, so the next round
+    counts these alone. It ends when no pair is met ``least`` times.
+    """
+    s, n = ids.astype(np.uint32), len(ids)
+    base = int(s.max()) + 1 if n else 0
     rules: list[np.ndarray] = []
     known = 0
-    for _ in range(rounds):
-        if len(s) < 2 * least:
+    # A list of symbols: what is gone is left out by its neighbours.
+    after, before, there = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n, dtype=np.int32), np.ones(n, bool)
+    at = np.arange(max(0, n - 1))
+    while len(at) >= least:
+        met, number, pairs = _frequent((s[at].astype(np.uint64) << np.uint64(32)) | s[after[at]], least)
+        if not len(met):
             break
-        pairs = (s[:-1].astype(np.uint64) << np.uint64(32)) | s[1:]
-        slot = _spread(pairs)
-        counts = np.bincount(slot.astype(np.int64), minlength=1 << _TABLE_BITS)
-        some = np.sort(pairs[counts[slot] >= least])  # pairs whose slot is rare are rare
-        if not len(some):
-            break
-        edges = np.flatnonzero(np.append(True, some[1:] != some[:-1]))
-        n = np.diff(np.append(edges, len(some)))
-        frequent = np.flatnonzero(n >= least)
-        chosen = some[edges[frequent[np.argsort(-n[frequent], kind="stable")[:per_round]]]]
-        if not len(chosen):
-            break
-        table = np.full(1 << _TABLE_BITS, -1, np.int32)
-        table[_spread(chosen)[::-1]] = np.arange(len(chosen) - 1, -1, -1)  # of two in one slot, the more frequent stays
-        which = table[slot]
-        at = np.flatnonzero((which >= 0) & (chosen[which] == pairs))
-        runs = np.append(True, at[1:] != at[:-1] + 1)
-        at = at[(np.arange(len(at)) - np.maximum.accumulate(np.where(runs, np.arange(len(at)), 0))) % 2 == 0]
-        use = np.bincount(which[at], minlength=len(chosen))
-        kept = use >= 4
-        at = at[kept[which[at]]]
-        if len(at) < 0.02 * len(s):
-            break
-        number = np.cumsum(kept) - 1
-        rules.append(np.stack([chosen[kept] >> np.uint64(32), chosen[kept] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
-        s[at] = (base + known + number[which[at]]).astype(np.uint32)
+        at = at[met]
+        chosen = _apart(at, number, after)
+        use = np.bincount(number[chosen], minlength=len(pairs))
+        kept = use >= least // 2  # the most frequent always is
+        chosen = chosen[kept[number[chosen]]]
+        rules.append(np.stack([pairs[kept] >> np.uint64(32), pairs[kept] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        here = at[chosen]
+        gone = after[here]
+        s[here] = (base + known + (np.cumsum(kept) - 1)[number[chosen]]).astype(np.uint32)
         known += int(kept.sum())
-        s = np.delete(s, at + 1)
-    return s, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), base
+        after[here] = after[gone]
+        before[after[gone]] = here
+        there[gone] = False
+        active = np.zeros(n + 1, bool)
+        active[at] = True  # frequent, and perhaps still there
+        active[gone] = False
+        active[here] = active[before[here]] = True
+        at = np.flatnonzero(active[:n])
+        at = at[after[at] < n]
+    return s[there], np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), base
 
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
-    out = np.ones(len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        out[k] = (out[a - base] if a >= base else 1) + (out[b - base] if b >= base else 1)
+    """How many ids each rule stands for; each pass is right for one level more."""
+    each = np.full(base + len(rules), 1, np.int64)
+    while True:
+        after = each[rules[:, 0]] + each[rules[:, 1]]
+        if (after == each[base:]).all():
+            return after
+        each[base:] = after
+
+
+def expand(symbols: np.ndarray, rules: np.ndarray, base: int, lengths: np.ndarray | None = None) -> np.ndarray:
+    """The ids that symbols stand for; each pass puts the ids in their places and splits the nonterminals that are left."""
+    lengths = expansion_lengths(rules, base) if lengths is None else lengths
+    each = np.ones(len(symbols), np.int64)
+    deep = symbols >= base
+    each[deep] = lengths[symbols[deep] - base]
+    at = np.cumsum(each) - each
+    out = np.empty(int(each.sum()), np.uint32)
+    while len(symbols):
+        deep = symbols >= base
+        out[at[~deep]] = symbols[~deep]
+        pair, at = rules[symbols[deep] - base], at[deep]
+        left = pair[:, 0]
+        n = np.ones(len(left), np.int64)
+        more = left >= base
+        n[more] = lengths[left[more] - base]
+        symbols, at = np.concatenate([left, pair[:, 1]]), np.concatenate([at, at + n])
     return out
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """The ids that symbols stand for; each pass replaces every nonterminal by its two symbols."""
-    s = symbols
-    while len(s) and (deep := s >= base).any():
-        width = deep + 1
-        first = np.cumsum(width) - width
-        out = np.empty(int(width.sum()), np.uint32)
-        out[first] = s
-        pair = rules[s[deep] - base]
-        out[first[deep]], out[first[deep] + 1] = pair[:, 0], pair[:, 1]
-        s = out
-    return s
+def pack_shard(doc_ids: list[int | None], documents: list[bytes]) -> bytes:
+    return packed(doc_ids, documents)[0]
 
 
-def pack_shard(doc_ids: list[int | None], documents: list[bytes]) -> bytes:
-    """A file's content; documents: each one's ids as little-endian unsigned 32-bit integers."""
+def packed(doc_ids: list[int | None], documents: list[bytes]) -> tuple[bytes, int, int]:
+    """A file's content, and how many symbols and rules it has; documents: each one's ids as little-endian unsigned 32-bit integers."""
     ids = np.frombuffer(b"".join(documents), "<u4")
     symbols, rules, base = compress(ids)
     lengths = expansion_lengths(rules, base)
@@ -118,7 +175,7 @@ def pack_shard(doc_ids: list[int | None], documents: list[bytes]) -> bytes:
     }
     body = [z.compress(x.tobytes()) for x in parts.values()]
     head = json.dumps({"base": base, "n_ids": len(ids), "parts": dict(zip(parts, map(len, body), strict=True))}).encode()
-    return b"".join([MAGIC, struct.pack("<I", len(head)), head, *body, *blocks])
+    return b"".join([MAGIC, struct.pack("<I", len(head)), head, *body, *blocks]), len(symbols), len(rules)
 
 
 class Shard:
@@ -146,7 +203,7 @@ class Shard:
         z = zstandard.ZstdDecompressor()
         symbols = np.concatenate([np.frombuffer(z.decompress(self._content[self._at[k] : self._at[k + 1]]), "<u4") for k in range(lo, hi)])
         first = int(self.block_before[lo])
-        return expand(symbols, self.rules, self.base)[a - first : b - first]
+        return expand(symbols, self.rules, self.base, self.expansions.astype(np.int64))[a - first : b - first]
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         whole = self.ids(0, self.n_ids)
@@ -156,7 +213,8 @@ class Shard:
 
 
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_ids: int = SHARD_IDS) -> tuple[str, DataFrame]:
-    """Encode and write; (folder, manifest): a row per file with its place in the order and the ids before it."""
+    """Encode and write; (folder, manifest): a row per file with its place in the order, its documents, ids, symbols, rules and
+    bytes, and the ids before it."""
     spark = docs.sparkSession
     root = new_folder(spark, "token-shards")
     end = struct.pack("<I", end_id)
@@ -167,10 +225,11 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_ids: in
         def flush():
             name = f"p{part:06d}-{seq:06d}-{uuid.uuid4().hex}.rps"
             with atomic_file(f"{root}/{name}") as out:
-                out.write(pack_shard(doc_ids, held))
-            return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "file": [name], "n_docs": [len(held)], "n_ids": [size // 4]}, schema=schema)
+                content, symbols, rules = packed(doc_ids, held)
+                out.write(content)
+            return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "file": [name], "n_docs": [len(held)], "n_ids": [size // 4], "n_symbols": [symbols], "n_rules": [rules], "n_bytes": [len(content)]}, schema=schema)
 
-        schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+        schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("file", pa.string()), *((x, pa.int64()) for x in ("n_docs", "n_ids", "n_symbols", "n_rules", "n_bytes"))])
         encoder = word_encoder(tokenizer)
         for batch in batches:
             for rows in slices(batch, "text"):
@@ -185,11 +244,11 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_ids: in
             yield flush()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    written = stored(ordered.mapInArrow(write, "part int, seq int, file string, n_docs long, n_ids long"), "token-manifest")
+    written = stored(ordered.mapInArrow(write, "part int, seq int, file string, n_docs long, n_ids long, n_symbols long, n_rules long, n_bytes long"), "token-manifest")
     parts = written.groupBy("part").agg(F.sum("n_ids").alias("part_ids"))
     before = parts.select("part", (F.sum("part_ids").over(W.orderBy("part")) - F.col("part_ids")).alias("ids_before_part"))
     inside = F.sum("n_ids").over(W.partitionBy("part").orderBy("seq")) - F.col("n_ids")
-    manifest = written.withColumn("inside", inside).join(before, "part").select("part", "seq", "file", "n_docs", "n_ids", (F.col("ids_before_part") + F.col("inside")).alias("ids_before"))
+    manifest = written.withColumn("inside", inside).join(before, "part").select("part", "seq", "file", "n_docs", "n_ids", "n_symbols", "n_rules", "n_bytes", (F.col("ids_before_part") + F.col("inside")).alias("ids_before"))
     return root, manifest
 
 
