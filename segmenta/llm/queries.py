@@ -77,7 +77,7 @@ ORACLES: dict[str, str] = {
         WITH page AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
         first AS (SELECT page_id, n, h, min(page_id) OVER (PARTITION BY h) AS first_id FROM page)
         SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
-            array_to_string(list_transform(range(32), k -> substr('{_DIGITS}', CAST((CAST('0x' || substr(h, CAST((k // 4) * 5 + 1 AS BIGINT), 5) AS BIGINT) // CAST(pow(32, 3 - k % 4) AS BIGINT)) % 32 AS BIGINT) + 1, 1)), '') AS payload_digest,
+            array_to_string([substr('{_DIGITS}', CAST((CAST('0x' || substr(h, CAST((k // 4) * 5 + 1 AS BIGINT), 5) AS BIGINT) // CAST(pow(32, 3 - k % 4) AS BIGINT)) % 32 AS BIGINT) + 1, 1) for k in range(32)], '') AS payload_digest,
             CASE WHEN page_id IS NOT DISTINCT FROM first_id THEN 'response' ELSE 'revisit' END AS record_type,
             CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
         FROM first""",
