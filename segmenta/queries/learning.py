@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from segmenta.operators import orderstats as O
 from segmenta.plans.registry import query, r6
@@ -92,8 +93,12 @@ def _(t):
 
 @query("aggregate_probabilities", "SELECT patient_id, round(avg(discount * 10), 6) AS probability, count(*) AS n_cycles, avg(discount * 10) >= 0.5 AS predicted FROM candidates GROUP BY 1")
 def _(t):
-    p = F.avg(F.col("discount") * 10)
-    return t.candidates.groupBy("patient_id").agg(r6(p).alias("probability"), F.count("*").alias("n_cycles"), (p >= 0.5).alias("predicted"))
+    """Lines are summed in the order they are stored, as a threshold at just 0.5 turns on the last bit of a sum."""
+    lines = t.lineitem.select("l_orderkey", (F.col("l_discount") * 10).alias("x"), F.struct("_metadata.file_path", "_metadata.row_index").alias("place"))
+    rows = lines.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_custkey").alias("patient_id"), "x", "place")
+    so_far = F.sum("x").over(W.partitionBy("patient_id").orderBy("place").rowsBetween(W.unboundedPreceding, W.currentRow))
+    p = F.try_divide(F.max_by("total", "place"), F.count("x"))
+    return rows.withColumn("total", so_far).groupBy("patient_id").agg(r6(p).alias("probability"), F.count("*").alias("n_cycles"), (p >= 0.5).alias("predicted"))
 
 
 SCORED = "(SELECT patient_id, label, (n_chars % 101) / 100.0::double AS score FROM cohort)"
