@@ -1,11 +1,14 @@
 """Kernels that SQL can't express, and the invariants that it can check."""
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from segmenta.functions import arrays as A
 from segmenta.functions import guards, rich, synthesis
 from segmenta.functions import kernels as K
+from segmenta.operators import orderstats as O
 from segmenta.operators.dsp import array_column, described, envelope_column, struct_column
 from segmenta.plans.registry import PHASES, query, r6
 
@@ -161,9 +164,8 @@ def _(t):
 
 def long_segments(t):
     """All vectors of each label, twenty in a row: part 0, 1, ... of at most 1 280 samples each."""
-    from pyspark.sql.window import Window as W
-
-    x = t.segments.withColumn("rk", F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1).withColumn("part", F.floor(F.col("rk") / 20))
+    least = F.coalesce(F.col("vec_id"), F.lit(-(2**63)))  # nulls are first
+    x = O.numbered(t.segments.withColumn("at", least), ["label"], "at", "rk").withColumn("part", F.floor((F.col("rk") - 1) / 20))
     return x.groupBy("label", "part").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rk", "signal"))), lambda s: s.signal)).alias("signal"))
 
 
@@ -191,14 +193,26 @@ def _(t):
     return long_segments(t).select("label", "part", described("observations")("signal").alias("m")).select("label", "part", "m.*")
 
 
-def _mel(x: pd.Series) -> pd.Series:
-    return x.map(lambda a: rich.image(a).astype("float32").tolist())
+#: Images sent at a time, of 600 kB each.
+IMAGES = 8
+
+
+def _mel(batches):
+    for batch in batches:
+        keys, signals = batch.select(["label", "part"]), batch.column("signal")
+        for k in range(0, batch.num_rows, IMAGES):
+            x = np.stack([rich.image(a) for a in signals.slice(k, IMAGES).to_pandas()]).astype(np.float32)
+            out = pa.array(x.ravel())
+            for size in x.shape[:0:-1]:
+                out = pa.ListArray.from_arrays(np.arange(0, len(out) + 1, size, dtype=np.int32), out)
+            yield pa.RecordBatch.from_arrays([*keys.slice(k, IMAGES).columns, out], ["label", "part", "image"])
 
 
 @query("mel_spectrogram")
 def _(t):
     """Three channels of 224 x 224 for each part, as image models take them."""
-    return long_segments(t).select("label", "part", _udf("array<array<array<float>>>")(_mel)("signal").alias("image"))
+    x = long_segments(t)
+    return x.mapInArrow(_mel, ", ".join(f"{k} {v}" for k, v in x.dtypes if k != "signal") + ", image array<array<array<float>>>")
 
 
 def _rich(x: pd.Series) -> pd.DataFrame:
